@@ -26,8 +26,8 @@ SPACE = r" \t\x0B\f\r\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205
 # Marks put around matches; a text's own marks are read as U+FFFD.
 START, END, EXTRA, NEWLINE = "\u0001", "\u0002", "\u0003", "\u0004"
 
-HIT = "line:int,column_start:int,matched:string"
-HIT_EXTRA = HIT + ",extra:string"
+HIT = "line:int,column_start:int,matched:string,extra:string"
+FIND = f"{START}$1{END}"
 
 
 def let(value: Column, body) -> Column:
@@ -226,38 +226,28 @@ def _one_line(part: Column) -> Column:
     return let(head, move)
 
 
-def _line_hits(line: Column, with_extra: bool) -> Column:
-    shape = HIT_EXTRA if with_extra else HIT
-
+def _line_hits(line: Column) -> Column:
     def step(acc, segment):
         head = F.substring_index(segment, END, 1)
-        matched = F.substring_index(head, EXTRA, 1) if with_extra else head
-        fields = [
-            line["line"].alias("line"),
-            (acc["position"] + 1).alias("column_start"),
-            F.replace(matched, F.lit(NEWLINE), F.lit("\n")).alias("matched"),
-        ]
-        width = F.length(segment) - 1
-        if with_extra:
-            fields.append(F.replace(head.substr(F.length(matched) + 2, F.length(head)),
-                                    F.lit(NEWLINE), F.lit("\n")).alias("extra"))
-            width = width - (F.length(head) - F.length(matched))
-        # A match that runs over lines was moved here; its rest follows on later lines.
+        matched = F.substring_index(head, EXTRA, 1)
+        extra = head.substr(F.length(matched) + 2, F.length(head))
+        hit = F.struct(line["line"].alias("line"), (acc["position"] + 1).alias("column_start"),
+                       F.replace(matched, F.lit(NEWLINE), F.lit("\n")).alias("matched"),
+                       F.replace(extra, F.lit(NEWLINE), F.lit("\n")).alias("extra"))
+        # What is handed out as extra takes no room, nor does END.
+        width = F.length(segment) - 1 - (F.length(head) - F.length(matched))
         return F.struct((acc["position"] + width).alias("position"),
-                        F.concat(acc["hits"], F.array(F.struct(*fields))).alias("hits"))
-
-    segments = F.split(line["text"], START)
+                        F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
     def run(segments):
         zero = F.struct(F.length(F.get(segments, F.lit(0))).alias("position"),
-                        F.array().cast(f"array<struct<{shape}>>").alias("hits"))
+                        F.array().cast(f"array<struct<{HIT}>>").alias("hits"))
         return F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), zero, step, lambda acc: acc["hits"])
 
-    return let(segments, run)
+    return let(F.split(line["text"], START), run)
 
 
-def find_all(text: Column, finder, replacement: str | None = None,
-             over_lines: Column | bool = True, with_extra: bool = False) -> Column:
+def find_all(text: Column, finder, replacement: Column | None = None, over_lines: Column | bool = True) -> Column:
     """Every match of ``finder`` in ``text``, in order, as array<struct<HIT>>.
 
     ``finder`` is a Java pattern, literal or column, whose group 1 is the match
@@ -266,8 +256,10 @@ def find_all(text: Column, finder, replacement: str | None = None,
     END is handed out as ``extra`` and takes no room in the text.
     """
     finder = F.lit(finder) if isinstance(finder, str) else finder
-    replacement = replacement or f"{START}$1{END}"
-    marked = F.regexp_replace(clean(text), finder, F.lit(replacement))
+    replacement = F.lit(FIND) if replacement is None else replacement
+    marked = F.regexp_replace(clean(text), finder, replacement)
+    # Marks around nothing: text the finder passed over.
+    marked = F.replace(marked, F.lit(START + EXTRA + END), F.lit(""))
 
     def hits(marked):
         def flow():
@@ -282,9 +274,8 @@ def find_all(text: Column, finder, replacement: str | None = None,
         lines = F.transform(F.split(flat, "\n"),
                             lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
         lines = F.filter(lines, lambda line: line["text"].contains(START))
-        found = F.flatten(F.transform(lines, lambda line: _line_hits(line, with_extra)))
-        return F.when(marked.contains(START), found).otherwise(
-            F.array().cast(f"array<struct<{HIT_EXTRA if with_extra else HIT}>>"))
+        found = F.flatten(F.transform(lines, _line_hits))
+        return F.when(marked.contains(START), found).otherwise(F.array().cast(f"array<struct<{HIT}>>"))
 
     return let(marked, hits)
 

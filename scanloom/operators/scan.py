@@ -1,11 +1,13 @@
 """The scan: a table of texts against a table of rules gives a table of findings.
 
-Plan: texts are joined with the broadcast rule patterns on the language; the
-join's further condition asks for a word the pattern cannot match without, so
-most (text, pattern) pairs end there at the price of a substring search.  For the
-pairs left, one expression finds all matches with positions, applies the rule's
-line conditions and cuts the snippet.  Only findings are shuffled, to drop
-duplicates, after a partial aggregate in each task.
+Plan, with one read of the texts: they are joined with the broadcast patterns on
+the language; the join's further condition asks for a word the pattern cannot
+match without, so most (text, pattern) pairs end there at the price of a
+substring search.  For the pairs left, one expression finds all matches with
+positions, applies the rule's line conditions and cuts the snippet.  The rules on
+calls, assignments and loops go the same way: what finds the facts is a pattern
+too, and a CASE over the fact says which rules it breaks.  Only findings are
+shuffled, to drop duplicates, after a partial aggregate in each task.
 """
 from __future__ import annotations
 
@@ -15,109 +17,134 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import clean, find_all, fold, let
+from ..functions.regex import FIND, clean, find_all, fold, let
 from ..functions.severity import SEVERITY_RANK
-from ..functions.text import mask, snippet, strip
-from ..rules.catalog import ANY_LANGUAGE, FILE, LINE, MATCH_ONLY, rules_frame
+from ..functions.text import mask
+from ..rules.catalog import ANY_LANGUAGE, LINE, FILE, rules_frame
+from .detectors import CALL_RULES, DEFER, PARSE, fact_patterns, with_fact_rules
+from .facts import defer_in_loop, dress, parse_in_try
 from .fixes import generated_fix
 
 # A rule table up to this many patterns is broadcast whole (a few MB at most);
 # a larger one is worked through in parts of this size.
 PATTERNS_PER_BROADCAST = 20_000
 
-RULE_FIELDS = ["rule_id", "pack", "name", "severity", "sev_rank", "message", "category", "cwe", "remediation",
-               "auto_fixable", "fix_template", "mask"]
-FINDING_KEY = ["rule_id", "path", "line", "matched_code"]
+# Packs that report a rule once per line; the others report each different match.
+ONCE_A_LINE = ("python", "rust")
+RULE_FIELDS = ["name", "severity", "sev_rank", "message", "category", "cwe", "remediation", "auto_fixable",
+               "fix_template", "mask"]
 FINDING_COLUMNS = ["finding_id", "rule_id", "pack", "name", "severity", "sev_rank", "language", "path", "line",
                    "column_start", "column_end", "matched_code", "snippet", "message", "category", "cwe",
                    "remediation", "auto_fixable", "fix_template", "fixed_code", "mask"]
+# These may differ between findings with one key; the rest follow from the key.
+VARYING = ["column_start", "column_end", "matched_code", "fixed_code"]
 
-
-def active(rules: DataFrame, threshold: str = "info") -> DataFrame:
-    """Rules that are switched on and at least as severe as ``threshold``."""
-    return rules.where(F.col("enabled") & (F.col("sev_rank") >= SEVERITY_RANK.get(threshold, 0)))
+FACT_PATTERN = """pack string, rule_language string, scope string, finder string, replacement string,
+words array<string>, names string, context int"""
 
 
-def pattern_rows(rules: DataFrame) -> DataFrame:
-    """One row per pattern of the rules that match text."""
-    return (rules.where(F.col("scope").isin(LINE, FILE))
-            .withColumnRenamed("language", "rule_language")
-            .select(*RULE_FIELDS, "rule_language", "scope", "once", "must", "guard", "context",
-                    F.explode("patterns").alias("p"))
-            .select("*", "p.finder", "p.words").drop("p"))
+def active(rules: DataFrame, threshold: str = "info") -> DataFrame:
+    """Rules that can match, are switched on and at least as severe as ``threshold``."""
+    return rules.where(F.col("enabled") & F.col("implemented")
+                       & (F.col("sev_rank") >= SEVERITY_RANK.get(threshold, 0)))
+
+
+def pattern_rows(rules: DataFrame, facts: bool = True) -> DataFrame:
+    """One row per pattern to look for, from the rules and from the ways to find facts."""
+    own = (rules.where(F.col("scope").isin(LINE, FILE))
+           .select("rule_id", "pack", F.col("language").alias("rule_language"), "scope", "once", "must", "guard",
+                   "context", F.explode("patterns").alias("p"))
+           .select("*", "p.finder", "p.words", F.lit(FIND).alias("replacement"),
+                   F.lit(None).cast("string").alias("names")).drop("p"))
+    if not facts:
+        return own
+    spark = rules.sparkSession
+    found = spark.createDataFrame(fact_patterns(), FACT_PATTERN)
+    packs = rules.where(F.col("pack").isin(list(CALL_RULES))).select("pack").distinct()
+    found = found.join(F.broadcast(packs), "pack", "left_semi")
+    return own.unionByName(found.select(
+        "*", F.lit(None).cast("string").alias("rule_id"), F.lit(False).alias("once"),
+        F.array().cast("array<string>").alias("must"), F.lit(None).cast("string").alias("guard")))
 
 
 def text_hits(text: Column) -> Column:
-    """Matches of the joined rule in ``text`` that pass its line conditions."""
-    found = find_all(text, F.col("finder"), over_lines=F.col("scope") == FILE)
+    """Hits of the joined pattern in ``text`` that pass its conditions."""
+    scope = F.col("scope")
+    found = F.when(scope == DEFER, defer_in_loop(text)).otherwise(
+        find_all(text, F.col("finder"), F.col("replacement"), over_lines=scope != LINE))
+    found = F.filter(found, lambda h: F.coalesce(F.regexp_like(F.lower(h["matched"]), F.col("names")), F.lit(True)))
+    in_try = F.when(scope == PARSE, parse_in_try(text)).otherwise(F.array().cast("array<boolean>"))
+    text_lines = F.split(clean(text), "\n")
 
     def passing(both):
-        hits, lines = both["hits"], both["lines"]
-
         def keep(hit, i):
-            own = F.get(lines, hit["line"] - 1)
-            first = ~F.col("once") | (i == 0) | (F.get(hits, i - 1)["line"] != hit["line"])
-            guarded = F.when(F.col("guard").isNull(), F.lit(False)).otherwise(F.regexp_like(own, F.col("guard")))
-            return first & ~guarded & F.forall(F.col("must"), lambda m: F.regexp_like(own, m))
-
-        def show(hit):
-            own = F.get(lines, hit["line"] - 1)
-            shown = (F.when(F.col("context") == MATCH_ONLY, hit["matched"])
-                     .when(F.col("context") == 0, strip(own))
-                     .otherwise(snippet(lines, hit["line"], F.col("context"))))
-            return F.struct(hit["line"], hit["column_start"], hit["matched"],
-                            own.alias("own_line"), shown.alias("snippet"))
+            own = F.get(both["lines"], hit["line"] - 1)
+            first = ~F.col("once") | (i == 0) | (F.get(both["hits"], i - 1)["line"] != hit["line"])
+            guarded = F.coalesce(F.regexp_like(own, F.col("guard")), F.lit(False))
+            safe = F.coalesce(F.get(both["in_try"], i), F.lit(False))
+            return first & ~guarded & ~safe & F.forall(F.col("must"), lambda m: F.regexp_like(own, m))
 
-        return F.transform(F.filter(hits, keep), show)
+        return dress(F.filter(both["hits"], keep), both["lines"], F.col("context"))
 
-    return let(F.struct(found.alias("hits"), F.split(clean(text), "\n").alias("lines")), passing)
+    return let(F.struct(found.alias("hits"), text_lines.alias("lines"), in_try.alias("in_try")), passing)
 
 
 def _scan_part(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     languages = F.array_distinct(F.array(F.lit(ANY_LANGUAGE), F.coalesce("language", F.lit(ANY_LANGUAGE))))
     keyed = texts.select("path", "language", "text", fold(F.col("text")).alias("folded"),
-                         F.explode(languages).alias("rule_language"))
+                         F.explode(languages).alias("text_language"))
     may_match = (F.size("words") == 0) | F.exists("words", lambda w: F.col("folded").contains(w))
-    pairs = keyed.join(F.broadcast(patterns), (keyed["rule_language"] == patterns["rule_language"]) & may_match)
-    return pairs.select("path", "language", *RULE_FIELDS, F.explode(text_hits(F.col("text"))).alias("hit"))
+    pairs = keyed.join(F.broadcast(patterns), (F.col("text_language") == F.col("rule_language")) & may_match)
+    return pairs.select("path", "language", "pack", "rule_id", "scope",
+                        F.explode(text_hits(F.col("text"))).alias("hit"))
 
 
-def matches(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every match of every text rule, one row each, before duplicates are dropped."""
-    patterns = pattern_rows(rules)
-    total = patterns.count()
-    parts = max(1, math.ceil(total / PATTERNS_PER_BROADCAST))
+def matches(texts: DataFrame, rules: DataFrame, facts: bool = True) -> DataFrame:
+    """Findings of the active ``rules`` in ``texts``, before duplicates are dropped."""
+    patterns = pattern_rows(rules, facts)
+    parts = max(1, math.ceil(patterns.count() / PATTERNS_PER_BROADCAST))
     if parts == 1:
         hits = _scan_part(texts, patterns)
     else:
-        slot = F.pmod(F.xxhash64("rule_id", "finder"), F.lit(parts))
+        slot = F.pmod(F.xxhash64("pack", "rule_id", "finder"), F.lit(parts))
         hits = reduce(DataFrame.unionByName,
                       [_scan_part(texts, patterns.where(slot == i)) for i in range(parts)])
-    return finding_rows(hits)
+    if facts:
+        hits = with_fact_rules(hits)
+    return finding_rows(join_rules(hits, rules))
+
+
+def join_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add the rule's fields; a rule id can stand in several packs and languages."""
+    known = rules.select(F.col("pack").alias("known_pack"), F.col("rule_id").alias("known_id"),
+                         F.col("language").alias("known_language"), *RULE_FIELDS)
+    same = ((F.col("pack") == F.col("known_pack")) & (F.col("rule_id") == F.col("known_id"))
+            & F.col("known_language").isin(F.lit(ANY_LANGUAGE), F.col("language")))
+    return hits.join(F.broadcast(known), same).drop("known_pack", "known_id", "known_language")
 
 
 def finding_rows(hits: DataFrame) -> DataFrame:
     """Findings from rows of path, language, the rule's fields and ``hit``."""
     hit = F.col("hit")
+    code = F.when(F.col("pack").isin(*ONCE_A_LINE), F.lit("")).otherwise(hit["matched"])
     return (hits.select("*", hit["line"].alias("line"), hit["column_start"].alias("column_start"),
                         (hit["column_start"] + F.length(hit["matched"])).alias("column_end"),
                         hit["matched"].alias("matched_code"), hit["snippet"].alias("snippet"))
-            .withColumn("finding_id", F.md5(F.concat_ws(":", *FINDING_KEY)))
+            .withColumn("finding_id", F.md5(F.concat_ws(":", "rule_id", "path", "line", code)))
             .withColumn("fixed_code", generated_fix(F.col("rule_id"), F.col("fix_template"), hit["own_line"],
                                                     F.col("matched_code")))
             .select(*FINDING_COLUMNS))
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
-    """One finding per rule, path, line and matched code: the first in the line.
+    """One finding per rule, path, line and matched code (or per line): the first in the line.
 
-    All other columns follow from those four, so they can all be grouping columns
-    of one hash aggregate, with a partial one before the shuffle.
+    ``finding_id`` stands for that key.  The other columns follow from it and are
+    grouping columns, so that one aggregate, partial before the shuffle, does it.
     """
-    columns = [c for c in findings.columns if c not in ("column_start", "column_end")]
-    return (findings.groupBy(*columns).agg(F.min("column_start").alias("column_start"),
-                                           F.min("column_end").alias("column_end"))
-            .select(*findings.columns))
+    fixed = [c for c in findings.columns if c not in VARYING]
+    return (findings.groupBy(*fixed).agg(F.min(F.struct(*VARYING)).alias("first"))
+            .select(*[F.col(f"first.{c}").alias(c) if c in VARYING else F.col(c) for c in findings.columns]))
 
 
 def hide_secrets(findings: DataFrame) -> DataFrame:
@@ -139,16 +166,8 @@ def scan(texts: DataFrame, rules: DataFrame | None = None, packs=None, threshold
     ``texts`` has ``path``, ``language`` and ``text``.  ``facts`` adds the rules on
     calls, assignments and loops.
     """
-    from .detectors import fact_matches
-
     rules = rules_frame(texts.sparkSession, packs=packs) if rules is None else rules
-    if packs is not None:
-        rules = rules.where(F.col("pack").isin(list(packs) + ["custom"]))
-    rules = active(rules, threshold)
-    found = matches(texts, rules)
-    if facts:
-        found = found.unionByName(fact_matches(texts, rules))
-    found = dedupe(found)
+    found = dedupe(matches(texts, active(rules, threshold), facts))
     found = hide_secrets(found) if masked else found.drop("mask")
     return found.withColumn("scan_id", F.lit(scan_id)) if scan_id else found
 
