@@ -37,9 +37,36 @@ def let(value: Column, body) -> Column:
 
 # --- dialect ---------------------------------------------------------------
 
-def _boundary(before: str, after: str) -> str:
-    if re.match(r"\w", after, re.A):
-        return f"(?<![{WORD}])"
+def _is_word(code: int) -> bool:
+    return code < 128 and (chr(code).isalnum() or code == 95)
+
+
+def _begins_with_word(tree) -> bool:
+    """Whether every match of the parsed pattern begins with a letter, a digit or ``_``."""
+    for kind, value in tree:
+        if kind is sre.LITERAL:
+            return _is_word(value)
+        if kind is sre.IN:
+            return all((k is sre.LITERAL and _is_word(v)) or (k is sre.RANGE and _is_word(v[0]) and _is_word(v[1]))
+                       or v in (sre.CATEGORY_DIGIT, sre.CATEGORY_WORD) for k, v in value)
+        if kind is sre.SUBPATTERN:
+            return _begins_with_word(value[3])
+        if kind is sre.BRANCH:
+            return all(_begins_with_word(branch) for branch in value[1])
+        if kind not in (sre.MAX_REPEAT, sre.MIN_REPEAT) or not _begins_with_word(value[2]):
+            return False
+        if value[0] > 0:
+            return True
+    return False
+
+
+def _boundary(before: str, rest: str) -> str:
+    try:
+        if _begins_with_word(sre_parser.parse(rest)):
+            return f"(?<![{WORD}])"
+    except re.error:  # the rest is part of a group
+        if re.match(r"\w(?![?*{])", rest, re.A):
+            return f"(?<![{WORD}])"
     if re.match(r"\w", before, re.A):
         return f"(?![{WORD}])"
     return f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
@@ -67,7 +94,7 @@ def java_body(pattern: str, by_line: bool = False, shift: int = 0) -> str:
                     raise ValueError(f"\\{e} inside a character class is not supported")
                 out.append(inside.get(e, two))
             elif e == "b":
-                out.append(_boundary(last, pattern[i + 2:i + 3]))
+                out.append(_boundary(last, pattern[i + 2:]))
             elif e == "B":
                 out.append(f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))")
             elif e in "123456789":

@@ -30,8 +30,8 @@ REPLACED = {
 }
 
 
-def generated_fix(rule_id: Column, template: Column, line: Column, matched: Column) -> Column:
-    """The fixed line, or null for rules that offer none."""
+def line_fix(rule_id: Column, line: Column) -> Column:
+    """The fixed line a rule offers for ``line``, or null."""
     chosen = F.when(F.lit(False), F.lit(None).cast("string"))
     for rule, fixed in WHOLE_LINE.items():
         chosen = chosen.when(rule_id == rule, F.lit(fixed))
@@ -42,7 +42,9 @@ def generated_fix(rule_id: Column, template: Column, line: Column, matched: Colu
         chosen = chosen.when(rule_id == rule, fixed)
     name = F.upper(F.regexp_extract(line, r"(\w+)\s*[=:]", 1))
     secret = F.when(name != "", F.concat(F.lit("const "), name, F.lit(" = process.env."), name, F.lit(";")))
-    chosen = chosen.when(rule_id == "JS-HARDCODED-SECRET", F.coalesce(secret, strip(line)))
-    # A template with $X takes the match's argument text.
-    argument = F.regexp_extract(matched, r"\(([^\s()]*)\)", 1)
-    return chosen.when(template.isNotNull(), F.replace(template, F.lit("$X"), argument))
+    return chosen.when(rule_id == "JS-HARDCODED-SECRET", F.coalesce(secret, strip(line)))
+
+
+def template_fix(template: Column, matched: Column) -> Column:
+    """A rule's own fix, with ``$X`` replaced by the match's argument."""
+    return F.replace(template, F.lit("$X"), F.regexp_extract(matched, r"\(([^\s()]*)\)", 1))

@@ -6,7 +6,7 @@ match without, so most (text, pattern) pairs end there at the price of a
 substring search.  For the pairs left, one expression finds all matches with
 positions, applies the rule's line conditions and cuts the snippet.  The rules on
 calls, assignments and loops go the same way: what finds the facts is a pattern
-too, and a CASE over the fact says which rules it breaks.  Only findings are
+too, and a CASE over the fact says which rules it breaks.  Only hits are
 shuffled, to drop duplicates, after a partial aggregate in each task.
 """
 from __future__ import annotations
@@ -14,20 +14,20 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.regex import FIND, clean, find_all, fold, let
 from ..functions.severity import SEVERITY_RANK
 from ..functions.text import mask
-from ..rules.catalog import ANY_LANGUAGE, LINE, FILE, rules_frame
+from ..rules.catalog import ANY_LANGUAGE, FILE, LINE, RULE_COLUMNS, builtin_rules
 from .detectors import CALL_RULES, DEFER, PARSE, fact_patterns, with_fact_rules
 from .facts import defer_in_loop, dress, parse_in_try
-from .fixes import generated_fix
+from .fixes import line_fix, template_fix
 
-# A rule table up to this many patterns is broadcast whole (a few MB at most);
-# a larger one is worked through in parts of this size.
-PATTERNS_PER_BROADCAST = 20_000
+# A rule table up to this many rules is broadcast whole (a few MB at most); a
+# larger one is worked through in parts of this size.
+RULES_PER_BROADCAST = 5_000
 
 # Packs that report a rule once per line; the others report each different match.
 ONCE_A_LINE = ("python", "rust")
@@ -35,36 +35,32 @@ RULE_FIELDS = ["name", "severity", "sev_rank", "message", "category", "cwe", "re
                "fix_template", "mask"]
 FINDING_COLUMNS = ["finding_id", "rule_id", "pack", "name", "severity", "sev_rank", "language", "path", "line",
                    "column_start", "column_end", "matched_code", "snippet", "message", "category", "cwe",
-                   "remediation", "auto_fixable", "fix_template", "fixed_code", "mask"]
-# These may differ between findings with one key; the rest follow from the key.
-VARYING = ["column_start", "column_end", "matched_code", "fixed_code"]
+                   "remediation", "auto_fixable", "fixed_code", "mask"]
+PATTERN_SCHEMA = """rule_id string, pack string, rule_language string, scope string, once boolean,
+must array<string>, guard string, context int, finder string, words array<string>, replacement string, names string"""
+KNOWN_SCHEMA = """known_pack string, known_id string, known_language string, name string, severity string,
+sev_rank int, message string, category string, cwe string, remediation string, auto_fixable boolean,
+fix_template string, mask string"""
 
-FACT_PATTERN = """pack string, rule_language string, scope string, finder string, replacement string,
-words array<string>, names string, context int"""
 
+def active(rows, threshold: str = "info", packs=None) -> list[dict]:
+    """Rules that can match, are switched on, in ``packs`` and at least as severe as ``threshold``."""
+    least = SEVERITY_RANK.get(threshold, 0)
+    rules = [dict(zip(RULE_COLUMNS, row)) for row in rows]
+    return [r for r in rules if r["enabled"] and r["implemented"] and r["sev_rank"] >= least
+            and (packs is None or r["pack"] in packs)]
 
-def active(rules: DataFrame, threshold: str = "info") -> DataFrame:
-    """Rules that can match, are switched on and at least as severe as ``threshold``."""
-    return rules.where(F.col("enabled") & F.col("implemented")
-                       & (F.col("sev_rank") >= SEVERITY_RANK.get(threshold, 0)))
 
-
-def pattern_rows(rules: DataFrame, facts: bool = True) -> DataFrame:
+def pattern_rows(rules: list[dict], facts: bool = True) -> list[tuple]:
     """One row per pattern to look for, from the rules and from the ways to find facts."""
-    own = (rules.where(F.col("scope").isin(LINE, FILE))
-           .select("rule_id", "pack", F.col("language").alias("rule_language"), "scope", "once", "must", "guard",
-                   "context", F.explode("patterns").alias("p"))
-           .select("*", "p.finder", "p.words", F.lit(FIND).alias("replacement"),
-                   F.lit(None).cast("string").alias("names")).drop("p"))
-    if not facts:
-        return own
-    spark = rules.sparkSession
-    found = spark.createDataFrame(fact_patterns(), FACT_PATTERN)
-    packs = rules.where(F.col("pack").isin(list(CALL_RULES))).select("pack").distinct()
-    found = found.join(F.broadcast(packs), "pack", "left_semi")
-    return own.unionByName(found.select(
-        "*", F.lit(None).cast("string").alias("rule_id"), F.lit(False).alias("once"),
-        F.array().cast("array<string>").alias("must"), F.lit(None).cast("string").alias("guard")))
+    rows = [
+        (r["rule_id"], r["pack"], r["language"], r["scope"], r["once"], r["must"], r["guard"], r["context"],
+         finder, words, FIND, None)
+        for r in rules if r["scope"] in (LINE, FILE) for _, finder, words in r["patterns"]]
+    packs = {r["pack"] for r in rules} & set(CALL_RULES) if facts else ()
+    return rows + [
+        (None, pack, language, scope, False, [], None, context, finder, words, replacement, names)
+        for pack, language, scope, finder, replacement, words, names, context in fact_patterns() if pack in packs]
 
 
 def text_hits(text: Column) -> Column:
@@ -73,106 +69,121 @@ def text_hits(text: Column) -> Column:
     found = F.when(scope == DEFER, defer_in_loop(text)).otherwise(
         find_all(text, F.col("finder"), F.col("replacement"), over_lines=scope != LINE))
     found = F.filter(found, lambda h: F.coalesce(F.regexp_like(F.lower(h["matched"]), F.col("names")), F.lit(True)))
-    in_try = F.when(scope == PARSE, parse_in_try(text)).otherwise(F.array().cast("array<boolean>"))
-    text_lines = F.split(clean(text), "\n")
 
-    def passing(both):
-        def keep(hit, i):
-            own = F.get(both["lines"], hit["line"] - 1)
-            first = ~F.col("once") | (i == 0) | (F.get(both["hits"], i - 1)["line"] != hit["line"])
-            guarded = F.coalesce(F.regexp_like(own, F.col("guard")), F.lit(False))
-            safe = F.coalesce(F.get(both["in_try"], i), F.lit(False))
-            return first & ~guarded & ~safe & F.forall(F.col("must"), lambda m: F.regexp_like(own, m))
+    def passing(hits):
+        in_try = F.when(scope == PARSE, parse_in_try(text)).otherwise(F.array().cast("array<boolean>"))
+
+        def choose(both):
+            def keep(hit, i):
+                own = F.get(both["lines"], hit["line"] - 1)
+                first = ~F.col("once") | (i == 0) | (F.get(hits, i - 1)["line"] != hit["line"])
+                guarded = F.coalesce(F.regexp_like(own, F.col("guard")), F.lit(False))
+                safe = F.coalesce(F.get(both["in_try"], i), F.lit(False))
+                return first & ~guarded & ~safe & F.forall(F.col("must"), lambda m: F.regexp_like(own, m))
+
+            return dress(F.filter(hits, keep), both["lines"], F.col("context"))
 
-        return dress(F.filter(both["hits"], keep), both["lines"], F.col("context"))
+        both = F.struct(F.split(clean(text), "\n").alias("lines"), in_try.alias("in_try"))
+        return F.when(F.size(hits) > 0, let(both, choose))
 
-    return let(F.struct(found.alias("hits"), text_lines.alias("lines"), in_try.alias("in_try")), passing)
+    return let(found, passing)
 
 
-def _scan_part(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    languages = F.array_distinct(F.array(F.lit(ANY_LANGUAGE), F.coalesce("language", F.lit(ANY_LANGUAGE))))
-    keyed = texts.select("path", "language", "text", fold(F.col("text")).alias("folded"),
-                         F.explode(languages).alias("text_language"))
+def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True) -> DataFrame:
+    """path, language, pack, rule_id and hit of ``rules`` in ``texts``."""
+    spark = texts.sparkSession
+    rows = pattern_rows(rules, facts)
+    patterns = spark.createDataFrame(rows, PATTERN_SCHEMA)
+    known = sorted({row[2] for row in rows})
+    keys = F.array_intersect(F.array(F.lit(ANY_LANGUAGE), F.coalesce("language", F.lit(ANY_LANGUAGE))),
+                             F.array(*[F.lit(k) for k in known]).cast("array<string>"))
+    keyed = (texts.select("path", "language", "text", fold(F.col("text")).alias("folded"), keys.alias("keys"))
+             .select("path", "language", "text", "folded", F.explode("keys").alias("text_language")))
     may_match = (F.size("words") == 0) | F.exists("words", lambda w: F.col("folded").contains(w))
     pairs = keyed.join(F.broadcast(patterns), (F.col("text_language") == F.col("rule_language")) & may_match)
-    return pairs.select("path", "language", "pack", "rule_id", "scope",
+    hits = pairs.select("path", "language", "pack", "rule_id", "scope",
                         F.explode(text_hits(F.col("text"))).alias("hit"))
+    return with_fact_rules(hits) if facts else hits.drop("scope")
 
 
-def matches(texts: DataFrame, rules: DataFrame, facts: bool = True) -> DataFrame:
-    """Findings of the active ``rules`` in ``texts``, before duplicates are dropped."""
-    patterns = pattern_rows(rules, facts)
-    parts = max(1, math.ceil(patterns.count() / PATTERNS_PER_BROADCAST))
-    if parts == 1:
-        hits = _scan_part(texts, patterns)
-    else:
-        slot = F.pmod(F.xxhash64("pack", "rule_id", "finder"), F.lit(parts))
-        hits = reduce(DataFrame.unionByName,
-                      [_scan_part(texts, patterns.where(slot == i)) for i in range(parts)])
-    if facts:
-        hits = with_fact_rules(hits)
-    return finding_rows(join_rules(hits, rules))
-
-
-def join_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add the rule's fields; a rule id can stand in several packs and languages."""
-    known = rules.select(F.col("pack").alias("known_pack"), F.col("rule_id").alias("known_id"),
-                         F.col("language").alias("known_language"), *RULE_FIELDS)
-    same = ((F.col("pack") == F.col("known_pack")) & (F.col("rule_id") == F.col("known_id"))
-            & F.col("known_language").isin(F.lit(ANY_LANGUAGE), F.col("language")))
-    return hits.join(F.broadcast(known), same).drop("known_pack", "known_id", "known_language")
-
-
-def finding_rows(hits: DataFrame) -> DataFrame:
-    """Findings from rows of path, language, the rule's fields and ``hit``."""
+def keyed_hits(hits: DataFrame) -> DataFrame:
+    """Hits as plain columns, with the key that tells findings apart."""
     hit = F.col("hit")
     code = F.when(F.col("pack").isin(*ONCE_A_LINE), F.lit("")).otherwise(hit["matched"])
-    return (hits.select("*", hit["line"].alias("line"), hit["column_start"].alias("column_start"),
-                        (hit["column_start"] + F.length(hit["matched"])).alias("column_end"),
-                        hit["matched"].alias("matched_code"), hit["snippet"].alias("snippet"))
-            .withColumn("finding_id", F.md5(F.concat_ws(":", "rule_id", "path", "line", code)))
-            .withColumn("fixed_code", generated_fix(F.col("rule_id"), F.col("fix_template"), hit["own_line"],
-                                                    F.col("matched_code")))
-            .select(*FINDING_COLUMNS))
+    return hits.select(
+        F.md5(F.concat_ws(":", "rule_id", "path", hit["line"], code)).alias("finding_id"),
+        "rule_id", "pack", "language", "path", hit["line"].alias("line"),
+        hit["column_start"].alias("column_start"),
+        (hit["column_start"] + F.length(hit["matched"])).alias("column_end"),
+        hit["matched"].alias("matched_code"), hit["snippet"].alias("snippet"),
+        line_fix(F.col("rule_id"), hit["own_line"]).alias("fixed_code"))
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
     """One finding per rule, path, line and matched code (or per line): the first in the line.
 
-    ``finding_id`` stands for that key.  The other columns follow from it and are
-    grouping columns, so that one aggregate, partial before the shuffle, does it.
+    ``finding_id`` stands for that key; the aggregate is partial before the shuffle.
     """
-    fixed = [c for c in findings.columns if c not in VARYING]
-    return (findings.groupBy(*fixed).agg(F.min(F.struct(*VARYING)).alias("first"))
-            .select(*[F.col(f"first.{c}").alias(c) if c in VARYING else F.col(c) for c in findings.columns]))
+    order = ["column_start", "column_end", "matched_code", "pack"]
+    rest = [c for c in findings.columns if c not in order and c != "finding_id"]
+    return (findings.groupBy("finding_id").agg(F.min(F.struct(*order, *rest)).alias("first"))
+            .select(*["finding_id" if c == "finding_id" else F.col(f"first.{c}").alias(c) for c in findings.columns]))
+
+
+def with_rules(hits: DataFrame, rules: list[dict]) -> DataFrame:
+    """Add the rule's fields; a rule id can stand in several packs and languages."""
+    rows = [(r["pack"], r["rule_id"], r["language"], *[r[f] for f in RULE_FIELDS]) for r in rules]
+    known = hits.sparkSession.createDataFrame(rows, KNOWN_SCHEMA)
+    same = ((F.col("pack") == F.col("known_pack")) & (F.col("rule_id") == F.col("known_id"))
+            & F.col("known_language").isin(F.lit(ANY_LANGUAGE), F.col("language")))
+    joined = hits.join(F.broadcast(known), same)
+    return joined.withColumn("fixed_code", F.coalesce(
+        "fixed_code", template_fix(F.col("fix_template"), F.col("matched_code")))).select(*FINDING_COLUMNS)
 
 
 def hide_secrets(findings: DataFrame) -> DataFrame:
     """Mask what secret rules found, in the match and in the snippet."""
     code, kind = F.col("matched_code"), F.col("mask")
-    secret = kind != ""
-    return findings.select(*[
-        F.when(secret, mask(F.col("snippet"), code, kind)).otherwise(F.col("snippet")).alias("snippet")
-        if c == "snippet" else
-        F.when(secret, mask(code, code, kind)).otherwise(code).alias("matched_code")
-        if c == "matched_code" else F.col(c)
-        for c in findings.columns if c != "mask"])
+    hidden = {"snippet": F.when(kind != "", mask(F.col("snippet"), code, kind)).otherwise(F.col("snippet")),
+              "matched_code": F.when(kind != "", mask(code, code, kind)).otherwise(code)}
+    return findings.select(*[hidden.get(c, F.col(c)).alias(c) for c in findings.columns if c != "mask"])
 
 
-def scan(texts: DataFrame, rules: DataFrame | None = None, packs=None, threshold: str = "medium",
+def rule_parts(rules, threshold: str, packs=None) -> list[list[dict]]:
+    """The active rules in parts small enough to broadcast; ``rules`` is a table or rows."""
+    if isinstance(rules, DataFrame):
+        rules = rules.select(*RULE_COLUMNS)
+        parts = max(1, math.ceil(rules.count() / RULES_PER_BROADCAST))
+        slot = F.pmod(F.xxhash64("pack", "rule_id", "language"), F.lit(parts))
+        return [active(rules.where(slot == i).collect(), threshold, packs) for i in range(parts)]
+    rows = active(builtin_rules() if rules is None else rules, threshold, packs)
+    return [rows[i:i + RULES_PER_BROADCAST] for i in range(0, max(1, len(rows)), RULES_PER_BROADCAST)]
+
+
+def scan(texts: DataFrame, rules=None, packs=None, threshold: str = "medium",
          facts: bool = True, masked: bool = True, scan_id: str | None = None) -> DataFrame:
     """Findings of ``rules`` (all shipped ones by default) in ``texts``.
 
-    ``texts`` has ``path``, ``language`` and ``text``.  ``facts`` adds the rules on
-    calls, assignments and loops.
+    ``texts`` has ``path``, ``language`` and ``text``; ``rules`` is a rule table or
+    rows of one.  ``facts`` adds the rules on calls, assignments and loops.
     """
-    rules = rules_frame(texts.sparkSession, packs=packs) if rules is None else rules
-    found = dedupe(matches(texts, active(rules, threshold), facts))
-    found = hide_secrets(found) if masked else found.drop("mask")
-    return found.withColumn("scan_id", F.lit(scan_id)) if scan_id else found
+    found = []
+    for part in rule_parts(rules, threshold, packs):
+        if part:
+            found.append(with_rules(dedupe(keyed_hits(hits_of(texts, part, facts))), part))
+    if not found:
+        found = [no_findings(texts.sparkSession)]
+    findings = reduce(DataFrame.unionByName, found)
+    findings = hide_secrets(findings) if masked else findings.drop("mask")
+    return findings.withColumn("scan_id", F.lit(scan_id)) if scan_id else findings
+
+
+def no_findings(spark: SparkSession) -> DataFrame:
+    numbers = {"sev_rank": "int", "line": "int", "column_start": "int", "column_end": "int", "auto_fixable": "boolean"}
+    return spark.createDataFrame([], ", ".join(f"{c} {numbers.get(c, 'string')}" for c in FINDING_COLUMNS))
 
 
-def scan_code(spark, code: str, language: str = "auto", **options) -> DataFrame:
+def scan_code(spark: SparkSession, code: str, language: str = "auto", **options) -> DataFrame:
     """Scan one snippet."""
     from ..functions.language import guess_language
 

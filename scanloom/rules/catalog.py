@@ -24,7 +24,9 @@ category string, message string, remediation string, auto_fixable boolean, fix_t
 patterns array<struct<source:string,finder:string,words:array<string>>>, once boolean, must array<string>,
 guard string, mask string, context int, cves array<string>, implemented boolean, enabled boolean, is_custom boolean
 """
-RULE_COLUMNS = [part.split()[0] for part in re.split(r",\s*(?![^<]*>)", RULE_SCHEMA.strip())]
+RULE_COLUMNS = ["rule_id", "pack", "name", "language", "severity", "sev_rank", "cwe", "category", "message",
+                "remediation", "auto_fixable", "fix_template", "scope", "patterns", "once", "must", "guard", "mask",
+                "context", "cves", "implemented", "enabled", "is_custom"]
 
 ANY_LANGUAGE = "any"
 LINE, FILE, FACT = "line", "file", "fact"
