@@ -64,17 +64,22 @@ def _small(table: DataFrame) -> bool:
 
 
 def cve_ranges(cves: DataFrame) -> DataFrame:
-    """Affected versions as ranges: ``<v``, ``<=v`` and ``a-b``, several parted by commas."""
-    part = F.col("part")
-    closed = part.rlike("^[0-9.]+-[0-9.]+$")
-    below = F.regexp_extract("part", "^<=?([0-9.]+)$", 1)
-    rows = cves.select("cve_id", F.lower("package").alias("package"),
-                       F.explode(F.split("affected_versions", r"\s*,\s*")).alias("part"))
-    return rows.select(
-        "cve_id", "package",
-        F.when(closed, version_key(F.substring_index("part", "-", 1))).alias("lo"),
-        F.when(closed, version_key(F.substring_index("part", "-", -1))).otherwise(version_key(below)).alias("hi"),
-        (closed | part.startswith("<=")).alias("hi_included")).where(F.col("hi").isNotNull())
+    """Affected versions as ranges: ``<v``, ``<=v`` and ``a-b``, several parted by commas.
+
+    One row per vulnerability, with an array of its ranges.
+    """
+
+    def one(part):
+        closed = part.rlike("^[0-9.]+-[0-9.]+$")
+        below = F.regexp_extract(part, "^<=?([0-9.]+)$", 1)
+        return F.struct(
+            F.when(closed, version_key(F.substring_index(part, "-", 1))).alias("lo"),
+            version_key(F.when(closed, F.substring_index(part, "-", -1)).otherwise(below)).alias("hi"),
+            (closed | part.startswith("<=")).alias("hi_included"))
+
+    ranges = F.transform(F.split("affected_versions", r"\s*,\s*"), one)
+    return cves.select("cve_id", F.lower("package").alias("package"),
+                       F.filter(ranges, lambda r: r["hi"].isNotNull()).alias("ranges"))
 
 
 def vulnerable(deps: DataFrame, cves: DataFrame) -> DataFrame:
@@ -84,17 +89,19 @@ def vulnerable(deps: DataFrame, cves: DataFrame) -> DataFrame:
     is not broadcast: dependencies then get a salt and the ranges one copy per salt,
     so that a package half the projects use is still spread.
     """
-    ranges = cve_ranges(cves).select("cve_id", F.col("package").alias("range_package"), "lo", "hi", "hi_included")
-    deps = deps.withColumn("version_key", version_key(F.col("version")))
-    inside = ((F.col("lo").isNull() | (F.col("version_key") >= F.col("lo")))
-              & ((F.col("version_key") < F.col("hi")) | (F.col("hi_included") & (F.col("version_key") == F.col("hi")))))
-    same = F.lower(F.col("package")) == F.col("range_package")
+    ranges = cve_ranges(cves).withColumnRenamed("package", "range_package")
+    keyed = deps.withColumn("version_key", version_key(F.col("version")))
+    key = F.col("version_key")
+
+    def inside(r):
+        after = r["lo"].isNull() | (key >= r["lo"])
+        return after & ((key < r["hi"]) | (r["hi_included"] & (key == r["hi"])))
+
+    hit = (F.lower(F.col("package")) == F.col("range_package")) & F.exists("ranges", inside)
     if _small(ranges):
-        joined = deps.join(F.broadcast(ranges), same & inside)
+        joined = keyed.join(F.broadcast(ranges), hit)
     else:
-        deps = deps.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        keyed = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         ranges = ranges.withColumn("range_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = deps.join(ranges, same & (F.col("salt") == F.col("range_salt")) & inside).drop("salt", "range_salt")
-    # Ranges of one vulnerability may overlap.
-    return (joined.drop("range_package", "lo", "hi", "hi_included", "version_key")
-            .dropDuplicates([c for c in deps.columns if c not in ("version_key", "salt")] + ["cve_id"]))
+        joined = keyed.join(ranges, (F.col("salt") == F.col("range_salt")) & hit)
+    return joined.select(*deps.columns, "cve_id")

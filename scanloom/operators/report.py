@@ -25,8 +25,10 @@ def severity_map() -> Column:
 
 def files_scanned(findings: DataFrame, texts: DataFrame) -> DataFrame:
     """How many files have findings, and how many were read."""
-    with_findings = findings.agg(F.countDistinct("path").alias("files_with_findings"))
-    return with_findings.join(F.broadcast(texts.agg(F.count("*").alias("files_read"))), how="cross")
+    both = (findings.select("path", F.lit(True).alias("found"))
+            .unionByName(texts.select("path", F.lit(False).alias("found"))))
+    return both.agg(F.countDistinct(F.when(F.col("found"), F.col("path"))).alias("files_with_findings"),
+                    F.count_if(~F.col("found")).alias("files_read"))
 
 
 def risk_score(critical: Column, high: Column, medium: Column, low: Column) -> Column:
@@ -90,8 +92,8 @@ def display(findings: DataFrame) -> DataFrame:
 
 def scan_report(findings: DataFrame, scan_id: str, timestamp: str) -> DataFrame:
     """One row: id, time and totals of a scan.  The findings themselves stay a table."""
-    totals = severity_counts(findings).join(
-        F.broadcast(findings.agg(F.countDistinct("path").alias("scanned_files"))), how="cross")
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
+    totals = findings.agg(*counts, F.count("*").alias("total"), F.countDistinct("path").alias("scanned_files"))
     return totals.select(
         F.lit(scan_id).alias("scan_id"), F.lit(timestamp).alias("timestamp"),
         F.struct(F.col("total").alias("total_vulnerabilities"), severity_map().alias("severity_counts"),
