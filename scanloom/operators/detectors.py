@@ -199,7 +199,7 @@ def fact_patterns() -> list[tuple]:
     return rows
 
 
-def with_fact_rules(rows: DataFrame) -> DataFrame:
+def with_fact_rules(rows: DataFrame, keep=()) -> DataFrame:
     """One row per rule for rows of pack, scope, rule_id (null for facts) and hit."""
     scope, pack = F.col("scope"), F.col("pack")
     call_rules = F.lit(None).cast("array<string>")
@@ -216,7 +216,7 @@ def with_fact_rules(rows: DataFrame) -> DataFrame:
                .otherwise(hit["matched"]))
     return (call_columns(rows)
             .withColumn("target", hit["matched"]).withColumn("value", hit["extra"])
-            .select("path", "language", "pack", F.explode(F.array_compact(rule_ids)).alias("rule_id"),
+            .select("path", "language", *keep, "pack", F.explode(F.array_compact(rule_ids)).alias("rule_id"),
                     hit.withField("matched", matched).alias("hit")))
 
 

@@ -67,7 +67,7 @@ def call_finder(language: str) -> str:
 
 def assignment_finder(language: str) -> str:
     return (rf"({SKIPPED[language]})|(?<![\p{{L}}\p{{N}}_$.])({TARGET})"
-            r"(?=[ \t]*+(?:[-+*/%&|^:]|//|\*\*|<<|>>)?=(?![=>])[ \t]*+((?:" + VALUE + r")*+))")
+            r"(?=[ \t]*+(?::(?!=)[\p{L}\p{N}_&<>\[\], \t|'.]*?)?(?:[-+*/%&|^:]|//|\*\*|<<|>>)?=(?![=>])[ \t]*+((?:" + VALUE + r")*+))")
 
 
 def by_language(make) -> Column:

@@ -89,30 +89,30 @@ def text_hits(text: Column) -> Column:
     return let(found, passing)
 
 
-def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True) -> DataFrame:
-    """path, language, pack, rule_id and hit of ``rules`` in ``texts``."""
+def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True, keep=()) -> DataFrame:
+    """path, language, pack, rule_id and hit of ``rules`` in ``texts``, with the columns to ``keep``."""
     spark = texts.sparkSession
     rows = pattern_rows(rules, facts)
     patterns = spark.createDataFrame(rows, PATTERN_SCHEMA)
     known = sorted({row[2] for row in rows})
     keys = F.array_intersect(F.array(F.lit(ANY_LANGUAGE), F.coalesce("language", F.lit(ANY_LANGUAGE))),
                              F.array(*[F.lit(k) for k in known]).cast("array<string>"))
-    keyed = (texts.select("path", "language", "text", fold(F.col("text")).alias("folded"), keys.alias("keys"))
-             .select("path", "language", "text", "folded", F.explode("keys").alias("text_language")))
+    keyed = (texts.select("path", "language", "text", *keep, fold(F.col("text")).alias("folded"), keys.alias("keys"))
+             .select("path", "language", "text", *keep, "folded", F.explode("keys").alias("text_language")))
     may_match = (F.size("words") == 0) | F.exists("words", lambda w: F.col("folded").contains(w))
     pairs = keyed.join(F.broadcast(patterns), (F.col("text_language") == F.col("rule_language")) & may_match)
-    hits = pairs.select("path", "language", "pack", "rule_id", "scope",
+    hits = pairs.select("path", "language", *keep, "pack", "rule_id", "scope",
                         F.explode(text_hits(F.col("text"))).alias("hit"))
-    return with_fact_rules(hits) if facts else hits.drop("scope")
+    return with_fact_rules(hits, keep) if facts else hits.drop("scope")
 
 
-def keyed_hits(hits: DataFrame) -> DataFrame:
+def keyed_hits(hits: DataFrame, keep=()) -> DataFrame:
     """Hits as plain columns, with the key that tells findings apart."""
     hit = F.col("hit")
     code = F.when(F.col("pack").isin(*ONCE_A_LINE), F.lit("")).otherwise(hit["matched"])
     return hits.select(
         F.md5(F.concat_ws(":", "rule_id", "path", hit["line"], code)).alias("finding_id"),
-        "rule_id", "pack", "language", "path", hit["line"].alias("line"),
+        "rule_id", "pack", "language", "path", *keep, hit["line"].alias("line"),
         hit["column_start"].alias("column_start"),
         (hit["column_start"] + F.length(hit["matched"])).alias("column_end"),
         hit["matched"].alias("matched_code"), hit["snippet"].alias("snippet"),
@@ -130,7 +130,7 @@ def dedupe(findings: DataFrame) -> DataFrame:
             .select(*["finding_id" if c == "finding_id" else F.col(f"first.{c}").alias(c) for c in findings.columns]))
 
 
-def with_rules(hits: DataFrame, rules: list[dict]) -> DataFrame:
+def with_rules(hits: DataFrame, rules: list[dict], keep=()) -> DataFrame:
     """Add the rule's fields; a rule id can stand in several packs and languages."""
     rows = [(r["pack"], r["rule_id"], r["language"], *[r[f] for f in RULE_FIELDS]) for r in rules]
     known = hits.sparkSession.createDataFrame(rows, KNOWN_SCHEMA)
@@ -138,7 +138,7 @@ def with_rules(hits: DataFrame, rules: list[dict]) -> DataFrame:
             & F.col("known_language").isin(F.lit(ANY_LANGUAGE), F.col("language")))
     joined = hits.join(F.broadcast(known), same)
     return joined.withColumn("fixed_code", F.coalesce(
-        "fixed_code", template_fix(F.col("fix_template"), F.col("matched_code")))).select(*FINDING_COLUMNS)
+        "fixed_code", template_fix(F.col("fix_template"), F.col("matched_code")))).select(*FINDING_COLUMNS, *keep)
 
 
 def hide_secrets(findings: DataFrame) -> DataFrame:
