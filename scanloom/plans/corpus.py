@@ -117,8 +117,8 @@ def _steps(position: int) -> tuple[int, int]:
     return 2 * position + 1, position + 3
 
 
-def code_files(orders: DataFrame) -> DataFrame:
-    """path, language, text, o_orderkey of one file per order."""
+def code_files(orders: DataFrame, *keep: str) -> DataFrame:
+    """path, language, text, o_orderkey of one file per order, and the columns to ``keep``."""
     pick = F.pmod(F.col("o_orderkey") + F.col("o_custkey"), F.lit(len(LANGUAGES)))
     language, extension, text = F.lit(None), F.lit(None), F.lit(None)
     for i, name in enumerate(LANGUAGES):
@@ -134,7 +134,7 @@ def code_files(orders: DataFrame) -> DataFrame:
         extension = F.when(pick == i, F.lit(ext)).otherwise(extension)
         text = F.when(pick == i, body).otherwise(text)
     path = F.concat(F.lit("proj"), F.pmod("o_custkey", F.lit(20)), F.lit("/src/f"), F.col("o_orderkey"), extension)
-    return orders.select(path.alias("path"), language.alias("language"), text.alias("text"), "o_orderkey")
+    return orders.select(path.alias("path"), language.alias("language"), text.alias("text"), "o_orderkey", *keep)
 
 
 # --- the same for DuckDB -----------------------------------------------------

@@ -316,13 +316,10 @@ def severity_numbers(spark, folder):
   WHERE body <> ''""")
 def page_scripts(spark, folder):
     """Scripts out of web pages, ready to be scanned as JavaScript."""
-    pages = read_table(spark, f"{folder}/pages.parquet", "page_id", "html")
-    rows = scripts(pages).where(F.col("text") != "")
+    rows = scripts(read_table(spark, f"{folder}/pages.parquet", "page_id", "html"))
     place = F.split(F.substring_index("path", "/", -1), ":")
-    from pyspark.sql import Window as W
-    order = W.partitionBy("page_id").orderBy(F.get(place, F.lit(1)).cast("int"), F.get(place, F.lit(2)).cast("int"))
-    return (rows.withColumn("page_id", F.get(place, F.lit(0)).cast("long"))
-            .select("page_id", F.row_number().over(order).alias("number"), F.col("text").alias("body")))
+    return rows.select(F.get(place, F.lit(0)).cast("long").alias("page_id"),
+                       F.get(place, F.lit(1)).cast("int").alias("number"), F.col("text").alias("body"))
 
 
 # --- reports -----------------------------------------------------------------
@@ -445,9 +442,8 @@ def new_since_last_scan(spark, folder):
 def severity_trend(spark, folder):
     """Findings by year of the order and severity, against the year before."""
     orders = read_table(spark, f"{folder}/orders.parquet", "o_orderkey", "o_custkey", "o_orderdate")
-    texts = code_files(orders).join(orders.select("o_orderkey", F.year("o_orderdate").alias("year")), "o_orderkey")
     # The year travels in the path, so the findings need no join.
-    texts = texts.withColumn("path", F.concat_ws("/", F.col("year").cast("string"), "path"))
+    texts = code_files(orders, "o_orderdate").withColumn("path", F.concat_ws("/", F.year("o_orderdate"), "path"))
     hits = scan(texts, packs=["pattern"], threshold="info", facts=False)
     counts = hits.groupBy(F.substring_index("path", "/", 1).cast("int").alias("scan_ts"), "severity").agg(
         F.count("*").alias("total"))
@@ -718,7 +714,7 @@ def sliding_severity_counts(spark, folder):
     return _plain(window_counts(event_findings(spark, folder), "1 hour", "20 minutes"))
 
 
-@query(f"""WITH {EVENT_LINES}, marked AS (SELECT owner, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END
+@query(f"""WITH {EVENT_LINES}, marked AS (SELECT owner, ts, path, rule_id, column_start, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END
     AS begins FROM hits WINDOW w AS (PARTITION BY owner ORDER BY ts, path, rule_id, column_start)),
   numbered AS (SELECT *, sum(begins) OVER (PARTITION BY owner ORDER BY ts, path, rule_id, column_start ROWS UNBOUNDED PRECEDING) AS n FROM marked)
   SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, owner, count(*) AS total

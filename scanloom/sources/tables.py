@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.language import guess_language
-from ..functions.regex import find_all
+from ..functions.regex import END, START, find_all
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
@@ -31,14 +31,16 @@ def as_texts(table: DataFrame, name: str, key: str | Column, text: str | Column,
                         language.alias("language"), text.alias("text"))
 
 
-SCRIPT = r"(?is)(?<=<script>|<script\s[^>]{0,500}>)(.*?)(?=</script)"
+SCRIPT = r"(?i)(<script(?:\s[^>]*+)?+>)([\s\S]*?)(?=</script)"
 
 
 def scripts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """The script bodies of web pages, each as one JavaScript text."""
-    found = pages.select(F.col(key), F.explode(find_all(F.col(html), SCRIPT)).alias("s"))
-    place = F.concat_ws(":", F.col(key).cast("string"), F.col("s.line"), F.col("s.column_start"))
-    return as_texts(found.withColumn("body", F.col("s.matched")), "pages", place, "body", "javascript")
+    """The script bodies of web pages, each as one JavaScript text with its number in the path."""
+    found = find_all(F.col(html), SCRIPT, F.lit(f"$1{START}$2{END}"))
+    bodies = F.filter(F.transform(found, lambda hit: hit["matched"]), lambda body: body != "")
+    rows = pages.select(F.col(key), F.posexplode(bodies).alias("number", "body"))
+    return as_texts(rows, "pages", F.concat_ws(":", F.col(key).cast("string"), F.col("number") + 1), "body",
+                    "javascript")
 
 
 def write_findings(findings: DataFrame, path: str, mode: str = "append") -> None:

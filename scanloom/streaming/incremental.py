@@ -6,6 +6,7 @@ old state by.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.language import file_name, is_skipped, language_of
@@ -53,10 +54,26 @@ def window_counts(findings: DataFrame, length: str = "1 hour", slide: str | None
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "severity", "total"))
 
 
-def session_counts(findings: DataFrame, gap: str = "30 minutes", by: str = "path") -> DataFrame:
-    """Findings per key and session: a run of findings with no longer pause than ``gap``."""
-    return (findings.groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("total"))
-            .select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), by, "total"))
+def session_counts(findings: DataFrame, gap: str = "30 minutes", by: str = "path", slices: str = "1 day") -> DataFrame:
+    """Findings per key and session: a run of findings with no longer pause than ``gap``.
+
+    A table is first counted in time slices, so that a key with much of the data is
+    spread over tasks; what is left, at most a few rows per slice, is joined up.  A
+    stream keeps one state per key instead.
+    """
+    session = F.session_window("ts", gap).alias("w")
+    if findings.isStreaming:
+        whole = findings.groupBy(session, by).agg(F.count("*").alias("total"))
+        return whole.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), by, "total")
+    part = (findings.groupBy(session, by, F.window("ts", slices).alias("slice")).agg(F.count("*").alias("total"))
+            .select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "total"))
+    order = W.partitionBy(by).orderBy("start")
+    reached = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    part = part.withColumn("begins", F.when(F.col("start") < reached, 0).otherwise(1))
+    part = part.withColumn("number", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return (part.groupBy(by, "number").agg(F.min("start").alias("session_start"), F.max("end").alias("session_end"),
+                                           F.sum("total").alias("total"))
+            .select("session_start", "session_end", by, "total"))
 
 
 def write_new(findings: DataFrame, path: str, checkpoint: str, available_now: bool = True):
