@@ -131,6 +131,21 @@ def java_body(pattern: str, by_line: bool = False, shift: int = 0) -> str:
     return "".join(out)
 
 
+LEADING_RUN = re.compile(r"\(?(\[(?:\^?\]?)(?:\\.|[^\]\\])*\])(?:\+|\{[1-9]\d*,\})(?!\?)")
+
+
+def _run_start(pattern: str, by_line: bool) -> str:
+    """For a pattern that begins with a run of one class: do not try again inside a run.
+
+    A match that could begin inside a run could begin before, too, unless the
+    previous match ends there.  Without this, long runs take quadratic time.
+    """
+    run = LEADING_RUN.match(pattern)
+    if not run:
+        return ""
+    return f"(?:(?<!{java_body(run.group(1), by_line)})|\\G)"
+
+
 def _flags(pattern: str, ignore_case: bool) -> tuple[str, bool]:
     if pattern.startswith("(?i)"):
         return pattern[4:], True
@@ -148,7 +163,7 @@ def to_finder(pattern: str, ignore_case=False, multiline=False, by_line=False) -
     """Like ``to_java``, with the whole match as group 1, for ``find_all``."""
     pattern, ignore_case = _flags(pattern, ignore_case)
     flags = "d" + ("m" if multiline or by_line else "") + ("iu" if ignore_case else "")
-    return f"((?{flags})" + java_body(pattern, by_line, shift=1) + ")"
+    return f"((?{flags})" + _run_start(pattern, by_line) + java_body(pattern, by_line, shift=1) + ")"
 
 
 def to_replacement(python_replacement: str) -> str:
@@ -274,19 +289,20 @@ def _line_hits(line: Column) -> Column:
     return let(F.split(line["text"], START), run)
 
 
-def find_all(text: Column, finder, replacement: Column | None = None, over_lines: Column | bool = True) -> Column:
-    """Every match of ``finder`` in ``text``, in order, as array<struct<HIT>>.
+def mark(text: Column, finder, replacement=FIND) -> Column:
+    """``text`` with marks around every match of ``finder`` (a Java pattern whose group 1 is the match)."""
+    finder = F.lit(finder) if isinstance(finder, str) else finder
+    replacement = F.lit(replacement) if isinstance(replacement, str) else replacement
+    return F.regexp_replace(text, finder, replacement)
+
+
+def hits_in(marked: Column, over_lines: Column | bool = True) -> Column:
+    """The marked matches in order, as array<struct<HIT>>.
 
-    ``finder`` is a Java pattern, literal or column, whose group 1 is the match
-    (``to_finder``).  Lines and columns count from 1, columns in code points.
-    ``replacement`` is for finders with further groups: text between EXTRA and
-    END is handed out as ``extra`` and takes no room in the text.
+    Lines and columns count from 1, columns in code points.  Text between EXTRA and
+    END is handed out as ``extra`` and takes no room in the text; marks around
+    nothing are text the finder passed over.
     """
-    finder = F.lit(finder) if isinstance(finder, str) else finder
-    replacement = F.lit(FIND) if replacement is None else replacement
-    marked = F.regexp_replace(clean(text), finder, replacement)
-    # Marks around nothing: text the finder passed over.
-    marked = F.replace(marked, F.lit(START + EXTRA + END), F.lit(""))
 
     def hits(marked):
         def flow():
@@ -304,7 +320,12 @@ def find_all(text: Column, finder, replacement: Column | None = None, over_lines
         found = F.flatten(F.transform(lines, _line_hits))
         return F.when(marked.contains(START), found).otherwise(F.array().cast(f"array<struct<{HIT}>>"))
 
-    return let(marked, hits)
+    return let(F.replace(marked, F.lit(START + EXTRA + END), F.lit("")), hits)
+
+
+def find_all(text: Column, finder, replacement=FIND, over_lines: Column | bool = True) -> Column:
+    """Every match of ``finder`` in ``text``, in order; see ``mark`` and ``hits_in``."""
+    return hits_in(mark(clean(text), finder, replacement), over_lines)
 
 
 def count_matches(text: Column, java_pattern: str) -> Column:

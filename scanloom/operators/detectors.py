@@ -183,18 +183,18 @@ CONTEXT = {"python": 1, "rust": 1, "javascript": 3, "go": 0}
 TARGETS = ["innerhtml", "outerhtml", "__proto__", "constructor.prototype"]
 
 
-def _any_word(words: list[str]) -> str:
-    return "|".join(w.replace(".", r"\.") for w in words)
-
-
 def fact_patterns() -> list[tuple]:
-    """pack, rule_language, scope, finder, replacement, words, names, context of every way to find facts."""
-    rows = [(language, language, CALL, call_finder(language), SKIP_TEXT_OUT, words, _any_word(words),
-             CONTEXT[language]) for language, words in CALL_WORDS.items()]
+    """pack, rule_language, scope, finder, replacement, words, names, context of every way to find facts.
+
+    A text without any of ``words`` is passed over; so is a fact whose lower-case
+    name holds none of ``names``.
+    """
+    rows = [(language, language, CALL, call_finder(language), SKIP_TEXT_OUT, words, words, CONTEXT[language])
+            for language, words in CALL_WORDS.items()]
     rows.append(("javascript", "javascript", ASSIGNMENT, assignment_finder("javascript"), SKIP_TEXT_OUT, TARGETS,
-                 _any_word(TARGETS), 3))
+                 TARGETS, 3))
     rows.append(("javascript", "javascript", PARSE, call_finder("javascript"), SKIP_TEXT_OUT, ["json.parse"],
-                 r"^json\.parse$", 3))
+                 ["json.parse"], 3))
     rows.append(("go", "go", DEFER, "", "", ["defer "], None, 0))
     return rows
 

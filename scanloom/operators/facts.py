@@ -100,7 +100,7 @@ def context_lines() -> Column:
 
 
 def _facts(texts: DataFrame, make, keep) -> DataFrame:
-    hits = F.filter(find_all(F.col("text"), by_language(make), F.lit(SKIP_TEXT_OUT)), keep)
+    hits = F.filter(find_all(F.col("text"), by_language(make), SKIP_TEXT_OUT), keep)
     shown = dress(hits, F.split(clean(F.col("text")), "\n"), context_lines())
     return texts.select("path", "language", F.explode(shown).alias("hit"))
 
@@ -171,7 +171,7 @@ def defer_in_loop(text: Column) -> Column:
         return F.struct((opens | (inside & ~ends)).alias("inside"), braces.alias("braces"),
                         F.when(found, F.concat(state["hits"], F.array(hit))).otherwise(state["hits"]).alias("hits"))
 
-    rows = F.transform(F.split(clean(text), "\n"),
+    rows = F.transform(F.split(text, "\n"),
                        lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
     zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("braces"),
                     F.array().cast(f"array<struct<{HIT}>>").alias("hits"))
@@ -199,5 +199,5 @@ def parse_in_try(text: Column) -> Column:
 
     zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("tries"),
                     F.array().cast("array<boolean>").alias("flags"))
-    tokens = F.regexp_extract_all(clean(text), F.lit(TRY_TOKENS), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(TRY_TOKENS), F.lit(0))
     return F.aggregate(tokens, zero, step, lambda state: state["flags"])

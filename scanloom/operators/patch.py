@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.regex import clean, let
+from ..session import stored
 from ..sources.fix_templates import rule_templates, templates_frame
 from .validate import CHECKS, all_valid, failures, validate
 
 CONTEXT = 3
-# Up to this many files with something to patch, their list is broadcast to the texts.
+# A list of places to patch with up to this many rows (some 50 MB) is broadcast to the texts.
 FILES_PER_BROADCAST = 100_000
 
 
@@ -116,8 +117,12 @@ def patch_columns(rows: DataFrame, dry_run: bool) -> DataFrame:
 
 
 def join_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``texts`` with the rows of ``wanted`` on ``path``; a short list is broadcast, not the texts shuffled."""
-    few = wanted.select("path").limit(FILES_PER_BROADCAST + 1).count() <= FILES_PER_BROADCAST
+    """``texts`` with the rows of ``wanted`` on ``path``; a short list is broadcast, not the texts shuffled.
+
+    ``wanted`` comes out of a scan, so it is stored before it is counted.
+    """
+    wanted = stored(wanted)
+    few = wanted.limit(FILES_PER_BROADCAST + 1).count() <= FILES_PER_BROADCAST
     return texts.join(F.broadcast(wanted) if few else wanted, "path")
 
 

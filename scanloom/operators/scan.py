@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.regex import FIND, clean, find_all, fold, let
+from ..functions.regex import FIND, clean, fold, hits_in, let, mark
 from ..functions.severity import SEVERITY_RANK
 from ..functions.text import mask
 from ..rules.catalog import ANY_LANGUAGE, FILE, LINE, RULE_COLUMNS, builtin_rules
@@ -37,7 +37,8 @@ FINDING_COLUMNS = ["finding_id", "rule_id", "pack", "name", "severity", "sev_ran
                    "column_start", "column_end", "matched_code", "snippet", "message", "category", "cwe",
                    "remediation", "auto_fixable", "fixed_code", "mask"]
 PATTERN_SCHEMA = """rule_id string, pack string, rule_language string, scope string, once boolean,
-must array<string>, guard string, context int, finder string, words array<string>, replacement string, names string"""
+must array<string>, guard string, context int, finder string, words array<string>, replacement string,
+names array<string>"""
 KNOWN_SCHEMA = """known_pack string, known_id string, known_language string, name string, severity string,
 sev_rank int, message string, category string, cwe string, remediation string, auto_fixable boolean,
 fix_template string, mask string"""
@@ -67,8 +68,10 @@ def text_hits(text: Column) -> Column:
     """Hits of the joined pattern in ``text`` that pass its conditions."""
     scope = F.col("scope")
     found = F.when(scope == DEFER, defer_in_loop(text)).otherwise(
-        find_all(text, F.col("finder"), F.col("replacement"), over_lines=scope != LINE))
-    found = F.filter(found, lambda h: F.coalesce(F.regexp_like(F.lower(h["matched"]), F.col("names")), F.lit(True)))
+        hits_in(mark(text, F.col("finder"), F.col("replacement")), over_lines=scope != LINE))
+
+    def named(hit):
+        return F.col("names").isNull() | F.exists("names", lambda name: F.lower(hit["matched"]).contains(name))
 
     def passing(hits):
         in_try = F.when(scope == PARSE, parse_in_try(text)).otherwise(F.array().cast("array<boolean>"))
@@ -79,14 +82,15 @@ def text_hits(text: Column) -> Column:
                 first = ~F.col("once") | (i == 0) | (F.get(hits, i - 1)["line"] != hit["line"])
                 guarded = F.coalesce(F.regexp_like(own, F.col("guard")), F.lit(False))
                 safe = F.coalesce(F.get(both["in_try"], i), F.lit(False))
-                return first & ~guarded & ~safe & F.forall(F.col("must"), lambda m: F.regexp_like(own, m))
+                return first & ~guarded & ~safe & F.forall("must", lambda m: F.regexp_like(own, m))
 
             return dress(F.filter(hits, keep), both["lines"], F.col("context"))
 
-        both = F.struct(F.split(clean(text), "\n").alias("lines"), in_try.alias("in_try"))
+        both = F.struct(F.split(text, "\n").alias("lines"), in_try.alias("in_try"))
         return F.when(F.size(hits) > 0, let(both, choose))
 
-    return let(found, passing)
+    exact = F.filter(found, lambda h: (scope != PARSE) | (h["matched"] == "JSON.parse"))
+    return let(F.when(F.col("names").isNull(), found).otherwise(F.filter(exact, named)), passing)
 
 
 def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True, keep=()) -> DataFrame:
@@ -97,7 +101,8 @@ def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True, keep=()) ->
     known = sorted({row[2] for row in rows})
     keys = F.array_intersect(F.array(F.lit(ANY_LANGUAGE), F.coalesce("language", F.lit(ANY_LANGUAGE))),
                              F.array(*[F.lit(k) for k in known]).cast("array<string>"))
-    keyed = (texts.select("path", "language", "text", *keep, fold(F.col("text")).alias("folded"), keys.alias("keys"))
+    keyed = (texts.select("path", "language", clean(F.col("text")).alias("text"), *keep,
+                          fold(F.col("text")).alias("folded"), keys.alias("keys"))
              .select("path", "language", "text", *keep, "folded", F.explode("keys").alias("text_language")))
     may_match = (F.size("words") == 0) | F.exists("words", lambda w: F.col("folded").contains(w))
     pairs = keyed.join(F.broadcast(patterns), (F.col("text_language") == F.col("rule_language")) & may_match)

@@ -1,10 +1,9 @@
 """Session settings for tests and benches; a cluster brings its own session."""
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -24,11 +23,15 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own, or a local one where none is set."""
+def stored(table: DataFrame) -> DataFrame:
+    """``table`` computed once and kept in the shared folder, where it survives lost executors.
+
+    The folder is the one ``spark.checkpoint.dir`` names; only where it is unset, as
+    in tests, is a temporary one made.
+    """
+    spark = table.sparkSession
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="scanloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scanloom-"))
+    return table.checkpoint()

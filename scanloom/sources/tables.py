@@ -36,7 +36,7 @@ SCRIPT = r"(?i)(<script(?:\s[^>]*+)?+>)([\s\S]*?)(?=</script)"
 
 def scripts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """The script bodies of web pages, each as one JavaScript text with its number in the path."""
-    found = find_all(F.col(html), SCRIPT, F.lit(f"$1{START}$2{END}"))
+    found = find_all(F.col(html), SCRIPT, f"$1{START}$2{END}")
     bodies = F.filter(F.transform(found, lambda hit: hit["matched"]), lambda body: body != "")
     rows = pages.select(F.col(key), F.posexplode(bodies).alias("number", "body"))
     return as_texts(rows, "pages", F.concat_ws(":", F.col(key).cast("string"), F.col("number") + 1), "body",

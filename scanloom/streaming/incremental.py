@@ -54,7 +54,8 @@ def window_counts(findings: DataFrame, length: str = "1 hour", slide: str | None
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "severity", "total"))
 
 
-def session_counts(findings: DataFrame, gap: str = "30 minutes", by: str = "path", slices: str = "1 day") -> DataFrame:
+def session_counts(findings: DataFrame, gap: str = "30 minutes", by: str = "path",
+                   slice_seconds: int = 86_400) -> DataFrame:
     """Findings per key and session: a run of findings with no longer pause than ``gap``.
 
     A table is first counted in time slices, so that a key with much of the data is
@@ -65,7 +66,7 @@ def session_counts(findings: DataFrame, gap: str = "30 minutes", by: str = "path
     if findings.isStreaming:
         whole = findings.groupBy(session, by).agg(F.count("*").alias("total"))
         return whole.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), by, "total")
-    part = (findings.groupBy(session, by, F.window("ts", slices).alias("slice")).agg(F.count("*").alias("total"))
+    part = (findings.groupBy(session, by, F.floor(F.unix_seconds(F.col("ts")) / slice_seconds).alias("slice")).agg(F.count("*").alias("total"))
             .select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "total"))
     order = W.partitionBy(by).orderBy("start")
     reached = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
