@@ -149,9 +149,11 @@ def with_rules(hits: DataFrame, rules: list[dict], keep=()) -> DataFrame:
 def hide_secrets(findings: DataFrame) -> DataFrame:
     """Mask what secret rules found, in the match and in the snippet."""
     code, kind = F.col("matched_code"), F.col("mask")
-    hidden = {"snippet": F.when(kind != "", mask(F.col("snippet"), code, kind)).otherwise(F.col("snippet")),
-              "matched_code": F.when(kind != "", mask(code, code, kind)).otherwise(code)}
-    return findings.select(*[hidden.get(c, F.col(c)).alias(c) for c in findings.columns if c != "mask"])
+    # One after the other: inside a lambda, a column named in the same select may mean the new one.
+    return (findings.withColumn("snippet", F.when(kind != "", mask(F.col("snippet"), code, kind))
+                                .otherwise(F.col("snippet")))
+            .withColumn("matched_code", F.when(kind != "", mask(code, code, kind)).otherwise(code))
+            .drop("mask"))
 
 
 def rule_parts(rules, threshold: str, packs=None) -> list[list[dict]]:

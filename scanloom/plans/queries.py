@@ -437,7 +437,7 @@ def new_since_last_scan(spark, folder):
 
 @query(sql.with_files("""SELECT scan_ts, severity, total, before, total - coalesce(before, 0) AS change FROM (
   SELECT *, lag(total) OVER (PARTITION BY severity ORDER BY scan_ts) AS before FROM (
-    SELECT year(o_orderdate) AS scan_ts, severity, count(*) AS total FROM reported JOIN files USING (path)
+    SELECT year(o_orderdate)::INTEGER AS scan_ts, severity, count(*) AS total FROM reported JOIN files USING (path)
     JOIN orders USING (o_orderkey) GROUP BY ALL))""", REPORTED))
 def severity_trend(spark, folder):
     """Findings by year of the order and severity, against the year before."""

@@ -13,8 +13,7 @@ def file_list(spark: SparkSession, path, file_extensions=None, exclude_patterns=
     """Every file under ``path`` (one path or a list) with its content, and whether a scan skips it.
 
     Names are judged relative to the path given, so that a root called ``build`` is
-    still read.  ``content`` is read only for rows that are kept, as long as the
-    filter on ``skipped`` comes first.
+    still read.  Spark's listing leaves out empty files, in which nothing can be found.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())

@@ -32,6 +32,10 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP",
+         "decimal(3,1)": "DECIMAL(3,1)"}
+
+
 def compare(spark, con, name, query, sql, folder):
     start = time.time()
     frame = query(spark, folder)
@@ -45,7 +49,12 @@ def compare(spark, con, name, query, sql, folder):
     problem = None
     if got_columns != want_columns:
         problem = f"columns {got_columns} / {want_columns}"
-    elif got != want:
+    types = {c: str(t) for c, t in zip(result.columns, result.types)}
+    other = {f.name: (f.dataType.simpleString(), types.get(f.name)) for f in frame.schema
+             if TYPES.get(f.dataType.simpleString()) != types.get(f.name)}
+    if problem is None and other:
+        problem = f"types {other}"
+    if problem is None and got != want:
         extra = [r for r in got if r not in set(want)][:3]
         lacking = [r for r in want if r not in set(got)][:3]
         problem = f"rows {len(got)} / {len(want)}; only Spark {extra}; only SQL {lacking}"
