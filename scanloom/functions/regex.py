@@ -28,6 +28,7 @@ START, END, EXTRA, NEWLINE = "\u0001", "\u0002", "\u0003", "\u0004"
 
 HIT = "line:int,column_start:int,matched:string,extra:string"
 FIND = f"{START}$1{END}"
+GROUP = 256
 
 
 def let(value: Column, body) -> Column:
@@ -175,9 +176,10 @@ def to_replacement(python_replacement: str) -> str:
 # --- words a match must contain ---------------------------------------------
 
 MAX_WORDS = 12
+MAX_SETS = 5
 
 
-def _score(words: list[str]) -> float:
+def _score(words) -> float:
     return min(len(w) for w in words) - 0.25 * (len(words) - 1)
 
 
@@ -191,8 +193,8 @@ def _class_letters(items) -> list[str] | None:
     return sorted(letters)
 
 
-def _words(tree) -> list[str] | None:
-    """The best any-of list of lower-case strings one of which every match holds."""
+def _word_sets(tree) -> list[list[str]]:
+    """Any-of lists of lower-case strings; every match holds one of each list."""
     found, run = [], [""]
 
     def flush():
@@ -211,27 +213,27 @@ def _words(tree) -> list[str] | None:
             run = [a + b for a, b in product(run, letters)]
             continue
         flush()
-        inner = None
         if kind is sre.SUBPATTERN:
-            inner = _words(value[3])
-        elif kind is sre.MAX_REPEAT or kind is sre.MIN_REPEAT or kind is sre.POSSESSIVE_REPEAT:
-            inner = _words(value[2]) if value[0] > 0 else None
+            found += _word_sets(value[3])
+        elif kind in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] > 0:
+            found += _word_sets(value[2])
         elif kind is sre.BRANCH:
-            parts = [_words(branch) for branch in value[1]]
+            parts = [_word_sets(branch) for branch in value[1]]
             if all(parts):
-                inner = sorted({w for part in parts for w in part})
-        if inner and len(inner) <= MAX_WORDS:
-            found.append(inner)
+                words = sorted({w for part in parts for w in max(part, key=_score)})
+                if len(words) <= MAX_WORDS:
+                    found.append(words)
     flush()
-    return max(found, key=_score) if found else None
+    return found
 
 
-def required_words(pattern: str) -> list[str]:
-    """Lower-case words of which any text matching ``pattern`` holds at least one.
+def required_words(pattern: str) -> list[list[str]]:
+    """Lists of lower-case words; any text matching ``pattern`` holds one word of each list.
 
-    Empty when the pattern asks for no fixed text.
+    The most telling list comes first.  Empty when the pattern asks for no fixed text.
     """
-    return _words(sre_parser.parse(pattern)) or []
+    sets = sorted({tuple(words) for words in _word_sets(sre_parser.parse(pattern))}, key=lambda w: (-_score(w), w))
+    return [list(words) for words in sets[:MAX_SETS]]
 
 
 def fold(text: Column) -> Column:
@@ -281,10 +283,21 @@ def _line_hits(line: Column) -> Column:
         return F.struct((acc["position"] + width).alias("position"),
                         F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
+    def empty(shape):
+        return F.array().cast(f"array<{shape}>")
+
+    def fold_group(acc, group):
+        part = F.aggregate(group, F.struct(acc["position"].alias("position"), empty(f"struct<{HIT}>").alias("hits")), step)
+        return let(part, lambda p: F.struct(p["position"].alias("position"),
+                                            F.concat(acc["groups"], F.array(p["hits"])).alias("groups")))
+
     def run(segments):
+        # In groups, as appending to one long array would take quadratic time.
+        last = F.floor((F.size(segments) - 2) / GROUP).cast("int")
+        groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(segments, g * GROUP + 2, F.lit(GROUP)))
         zero = F.struct(F.length(F.get(segments, F.lit(0))).alias("position"),
-                        F.array().cast(f"array<struct<{HIT}>>").alias("hits"))
-        return F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), zero, step, lambda acc: acc["hits"])
+                        empty(f"array<struct<{HIT}>>").alias("groups"))
+        return F.flatten(F.aggregate(groups, zero, fold_group, lambda acc: acc["groups"]))
 
     return let(F.split(line["text"], START), run)
 

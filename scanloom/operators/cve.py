@@ -86,22 +86,24 @@ def vulnerable(deps: DataFrame, cves: DataFrame) -> DataFrame:
     """Rows of ``deps`` (package, version, ...) with each vulnerability their version falls in.
 
     Versions that are no dotted numbers match nothing.  A large vulnerability table
-    is not broadcast: dependencies then get a salt and the ranges one copy per salt,
-    so that a package half the projects use is still spread.
+    is not broadcast: equal dependencies are then counted first, the rest get a salt
+    and the ranges one copy per salt, so that a package half the projects use is
+    still spread.  The salt follows from the row, so a task run again gives the same.
     """
     ranges = cve_ranges(cves).withColumnRenamed("package", "range_package")
-    keyed = deps.withColumn("version_key", version_key(F.col("version")))
-    key = F.col("version_key")
+    key = version_key(F.col("version"))
 
     def inside(r):
-        after = r["lo"].isNull() | (key >= r["lo"])
-        return after & ((key < r["hi"]) | (r["hi_included"] & (key == r["hi"])))
+        after = r["lo"].isNull() | (F.col("version_key") >= r["lo"])
+        return after & ((F.col("version_key") < r["hi"]) | (r["hi_included"] & (F.col("version_key") == r["hi"])))
 
     hit = (F.lower(F.col("package")) == F.col("range_package")) & F.exists("ranges", inside)
     if _small(ranges):
-        joined = keyed.join(F.broadcast(ranges), hit)
-    else:
-        keyed = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-        ranges = ranges.withColumn("range_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        joined = keyed.join(ranges, (F.col("salt") == F.col("range_salt")) & hit)
-    return joined.select(*deps.columns, "cve_id")
+        joined = deps.withColumn("version_key", key).join(F.broadcast(ranges), hit)
+        return joined.select(*deps.columns, "cve_id")
+    counted = deps.groupBy(*deps.columns).agg(F.count("*").alias("copies")).withColumn("version_key", key)
+    counted = counted.withColumn("salt", F.pmod(F.xxhash64(*deps.columns), F.lit(SALTS)).cast("int"))
+    ranges = ranges.withColumn("range_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    joined = counted.join(ranges, (F.col("salt") == F.col("range_salt")) & hit)
+    every = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+    return joined.select(*deps.columns, "cve_id", every).drop("copy")

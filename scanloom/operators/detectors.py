@@ -186,16 +186,16 @@ TARGETS = ["innerhtml", "outerhtml", "__proto__", "constructor.prototype"]
 def fact_patterns() -> list[tuple]:
     """pack, rule_language, scope, finder, replacement, words, names, context of every way to find facts.
 
-    A text without any of ``words`` is passed over; so is a fact whose lower-case
+    A text without a word of each list in ``words`` is passed over; so is a fact whose lower-case
     name holds none of ``names``.
     """
-    rows = [(language, language, CALL, call_finder(language), SKIP_TEXT_OUT, words, words, CONTEXT[language])
+    rows = [(language, language, CALL, call_finder(language), SKIP_TEXT_OUT, [words], words, CONTEXT[language])
             for language, words in CALL_WORDS.items()]
-    rows.append(("javascript", "javascript", ASSIGNMENT, assignment_finder("javascript"), SKIP_TEXT_OUT, TARGETS,
+    rows.append(("javascript", "javascript", ASSIGNMENT, assignment_finder("javascript"), SKIP_TEXT_OUT, [TARGETS],
                  TARGETS, 3))
-    rows.append(("javascript", "javascript", PARSE, call_finder("javascript"), SKIP_TEXT_OUT, ["json.parse"],
+    rows.append(("javascript", "javascript", PARSE, call_finder("javascript"), SKIP_TEXT_OUT, [["json.parse"]],
                  ["json.parse"], 3))
-    rows.append(("go", "go", DEFER, "", "", ["defer "], None, 0))
+    rows.append(("go", "go", DEFER, "", "", [["defer "]], None, 0))
     return rows
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import END, EXTRA, HIT, START, clean, find_all, let
-from ..functions.text import snippet, strip
+from ..functions.text import LONG_LINE, line_table, shown_part, snippet, strip
 
 IDENT = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 NOT_IN_WORD = r"(?<![\p{L}\p{N}_$])"
@@ -79,15 +79,18 @@ def by_language(make) -> Column:
 
 
 def dress(hits: Column, lines: Column, around: Column) -> Column:
-    """Add the hit's own line and its snippet."""
+    """Add the hit's own line, its snippet and whether it begins the line; ``lines`` is a ``line_table``."""
 
     def add(both):
         def one(hit):
-            own = F.get(both["lines"], hit["line"] - 1)
-            shown = (F.when(around < 0, hit["matched"]).when(around == 0, strip(own))
-                     .otherwise(snippet(both["lines"], hit["line"], around)))
-            return F.struct(hit["line"], hit["column_start"], hit["matched"], hit["extra"],
-                            own.alias("own_line"), shown.alias("snippet"))
+            def with_own(own):
+                shown = (F.when(around < 0, hit["matched"]).when(around == 0, strip(own))
+                         .otherwise(snippet(both["lines"], hit["line"], around, own)))
+                begins = (hit["column_start"] <= LONG_LINE) & (
+                    strip(own.substr(F.lit(1), hit["column_start"] - 1)) == "")
+                return F.struct(hit["line"], hit["column_start"], hit["matched"], hit["extra"],
+                                own.alias("own_line"), shown.alias("snippet"), begins.alias("begins_line"))
+            return let(shown_part(F.get(both["lines"], hit["line"] - 1), hit["column_start"]), with_own)
         return F.transform(both["hits"], one)
 
     return let(F.struct(hits.alias("hits"), lines.alias("lines")), add)
@@ -101,7 +104,7 @@ def context_lines() -> Column:
 
 def _facts(texts: DataFrame, make, keep) -> DataFrame:
     hits = F.filter(find_all(F.col("text"), by_language(make), SKIP_TEXT_OUT), keep)
-    shown = dress(hits, F.split(clean(F.col("text")), "\n"), context_lines())
+    shown = dress(hits, line_table(clean(F.col("text"))), context_lines())
     return texts.select("path", "language", F.explode(shown).alias("hit"))
 
 
@@ -134,14 +137,10 @@ def calls(texts: DataFrame) -> DataFrame:
         "path", "language", "hit.line", "hit.column_start", "func_text", "func_lc", "args_text", "args", "kwargs")
 
 
-def begins_line() -> Column:
-    return strip(F.col("hit.own_line").substr(F.lit(1), F.col("hit.column_start") - 1)) == ""
-
-
 def assignments(texts: DataFrame) -> DataFrame:
     """Every assignment; in Python only those that begin a line, the rest being keyword arguments."""
     rows = _facts(texts, assignment_finder, lambda h: h["matched"] != "")
-    return (rows.where((F.col("language") != "python") | begins_line())
+    return (rows.where((F.col("language") != "python") | F.col("hit.begins_line"))
             .select("path", "language", "hit.line", "hit.column_start", F.col("hit.matched").alias("target"),
                     strip(F.col("hit.extra")).alias("value")))
 

@@ -1,7 +1,7 @@
 """The scan: a table of texts against a table of rules gives a table of findings.
 
 Plan, with one read of the texts: they are joined with the broadcast patterns on
-the language; the join's further condition asks for a word the pattern cannot
+the language; the join's further condition asks for the words the pattern cannot
 match without, so most (text, pattern) pairs end there at the price of a
 substring search.  For the pairs left, one expression finds all matches with
 positions, applies the rule's line conditions and cuts the snippet.  The rules on
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import FIND, clean, fold, hits_in, let, mark
 from ..functions.severity import SEVERITY_RANK
-from ..functions.text import mask
+from ..functions.text import line_table, mask
 from ..rules.catalog import ANY_LANGUAGE, FILE, LINE, RULE_COLUMNS, builtin_rules
 from .detectors import CALL_RULES, DEFER, PARSE, fact_patterns, with_fact_rules
 from .facts import defer_in_loop, dress, parse_in_try
@@ -37,7 +37,7 @@ FINDING_COLUMNS = ["finding_id", "rule_id", "pack", "name", "severity", "sev_ran
                    "column_start", "column_end", "matched_code", "snippet", "message", "category", "cwe",
                    "remediation", "auto_fixable", "fixed_code", "mask"]
 PATTERN_SCHEMA = """rule_id string, pack string, rule_language string, scope string, once boolean,
-must array<string>, guard string, context int, finder string, words array<string>, replacement string,
+must array<string>, guard string, context int, finder string, words array<array<string>>, replacement string,
 names array<string>"""
 KNOWN_SCHEMA = """known_pack string, known_id string, known_language string, name string, severity string,
 sev_rank int, message string, category string, cwe string, remediation string, auto_fixable boolean,
@@ -78,7 +78,7 @@ def text_hits(text: Column) -> Column:
 
         def choose(both):
             def keep(hit, i):
-                own = F.get(both["lines"], hit["line"] - 1)
+                own = F.get(both["lines"], hit["line"] - 1)["text"]
                 first = ~F.col("once") | (i == 0) | (F.get(hits, i - 1)["line"] != hit["line"])
                 guarded = F.coalesce(F.regexp_like(own, F.col("guard")), F.lit(False))
                 safe = F.coalesce(F.get(both["in_try"], i), F.lit(False))
@@ -86,7 +86,7 @@ def text_hits(text: Column) -> Column:
 
             return dress(F.filter(hits, keep), both["lines"], F.col("context"))
 
-        both = F.struct(F.split(text, "\n").alias("lines"), in_try.alias("in_try"))
+        both = F.struct(line_table(text).alias("lines"), in_try.alias("in_try"))
         return F.when(F.size(hits) > 0, let(both, choose))
 
     exact = F.filter(found, lambda h: (scope != PARSE) | (h["matched"] == "JSON.parse"))
@@ -104,7 +104,7 @@ def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True, keep=()) ->
     keyed = (texts.select("path", "language", clean(F.col("text")).alias("text"), *keep,
                           fold(F.col("text")).alias("folded"), keys.alias("keys"))
              .select("path", "language", "text", *keep, "folded", F.explode("keys").alias("text_language")))
-    may_match = (F.size("words") == 0) | F.exists("words", lambda w: F.col("folded").contains(w))
+    may_match = F.forall("words", lambda some: F.exists(some, lambda word: F.col("folded").contains(word)))
     pairs = keyed.join(F.broadcast(patterns), (F.col("text_language") == F.col("rule_language")) & may_match)
     hits = pairs.select("path", "language", *keep, "pack", "rule_id", "scope",
                         F.explode(text_hits(F.col("text"))).alias("hit"))

@@ -21,7 +21,7 @@ from .weaknesses import WEAKNESSES
 RULE_SCHEMA = """
 rule_id string, pack string, name string, language string, severity string, sev_rank int, cwe string,
 category string, message string, remediation string, auto_fixable boolean, fix_template string, scope string,
-patterns array<struct<source:string,finder:string,words:array<string>>>, once boolean, must array<string>,
+patterns array<struct<source:string,finder:string,words:array<array<string>>>>, once boolean, must array<string>,
 guard string, mask string, context int, cves array<string>, implemented boolean, enabled boolean, is_custom boolean
 """
 RULE_COLUMNS = ["rule_id", "pack", "name", "language", "severity", "sev_rank", "cwe", "category", "message",

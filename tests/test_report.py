@@ -28,7 +28,9 @@ def test_order_and_top(found):
     rows = [(r.path, r.line) for r in report.in_order(found).collect()]
     assert rows == sorted(rows)
     assert [r.severity for r in report.most_severe(found, 2).collect()] == ["critical", "critical"]
-    assert report.top_per(found, "path", 1).count() == 3
+    top = report.top_per(found, "path", 1)
+    assert top.count() == 3
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
 def test_filters_and_display(found):
