@@ -18,7 +18,8 @@ from ..functions.regex import END, EXTRA, HIT, START, clean, find_all, let
 from ..functions.text import LONG_LINE, line_table, shown_part, snippet, strip
 
 IDENT = r"[\p{L}_$][\p{L}\p{N}_$]*+"
-NOT_IN_WORD = r"(?<![\p{L}\p{N}_$])"
+# A name is tried from its first part only: a later part ends at the same place.
+NAME_START = r"(?<![\p{L}\p{N}_$])(?<![\p{L}\p{N}_$]\.)(?<![\p{L}\p{N}_$]::)"
 DOUBLE = r'"(?:[^"\\\n]++|\\[\s\S])*+"'
 SINGLE = r"'(?:[^'\\\n]++|\\[\s\S])*+'"
 BACKTICK = r"`(?:[^`\\]++|\\[\s\S])*+`"
@@ -61,7 +62,7 @@ SKIP_TEXT_OUT = f"$1{START}$2{EXTRA}$3{END}"
 
 
 def call_finder(language: str) -> str:
-    return (rf"({SKIPPED[language]})|{NOT_IN_WORD}{DEFINED}({CALL_NAME})"
+    return (rf"({SKIPPED[language]})|{NAME_START}{DEFINED}({CALL_NAME})"
             rf"(?:(?=[ \t]*+\(({_balanced(4)})\))|(?=[ \t]*+\())")
 
 
