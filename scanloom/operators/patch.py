@@ -119,7 +119,9 @@ def patch_columns(rows: DataFrame, dry_run: bool) -> DataFrame:
 def join_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``texts`` with the rows of ``wanted`` on ``path``; a short list is broadcast, not the texts shuffled.
 
-    ``wanted`` comes out of a scan, so it is stored before it is counted.
+    ``wanted`` comes out of a scan, so it is stored before it is counted.  A long
+    list is joined by path; a file with very many places is a skewed key there,
+    which adaptive execution splits.
     """
     wanted = stored(wanted)
     few = wanted.limit(FILES_PER_BROADCAST + 1).count() <= FILES_PER_BROADCAST

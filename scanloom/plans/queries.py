@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language as lang
 from ..functions import text as tx
+from ..functions.regex import count_matches, to_java, to_replacement
 from ..functions.severity import int_to_severity, severity_rank, severity_to_int
 from ..operators import cve, patch, report
 from ..operators.facts import assignments, calls
@@ -288,6 +289,23 @@ def shortened_texts(spark, folder):
                        F.md5(tx.truncate_lines(text)).alias("ten_lines"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND regexp_matches(text, '[\\x{80}-\\x{10FFFF}]')
+    AND regexp_matches(narrow, '[\\x{80}-\\x{FF}]') THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+  md5(regexp_replace(CASE WHEN doc_id % 2 = 1 THEN narrow ELSE text END, '\\r\\n?', chr(10), 'g')) AS text_md5
+  FROM (SELECT doc_id, text, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') AS narrow FROM documents)
+  WHERE doc_id % 10 <> 3""")
+def decoded_documents(spark, folder):
+    """Documents as bytes of files: every other one in Latin-1, every tenth with a NUL byte, read back."""
+    docs = read_table(spark, f"{folder}/documents.parquet", "doc_id", "text")
+    narrow = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    content = F.when(F.col("doc_id") % 2 == 1, narrow).otherwise(F.encode("text", "UTF-8"))
+    nul = F.lit(bytearray(b"\x00"))
+    content = F.when(F.col("doc_id") % 10 == 3, F.concat(nul, content)).otherwise(content)
+    rows = docs.select("doc_id", content.alias("content")).where(~tx.is_binary(F.col("content")))
+    text, encoding = tx.decode_bytes(F.col("content"))
+    return rows.select("doc_id", encoding.alias("encoding"), F.md5(text).alias("text_md5"))
+
+
 PRIORITY = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "none", "5-LOW": "low"}
 
 
@@ -660,6 +678,21 @@ def findings_without_fix(spark, folder):
     return patch.unpatchable(reported(spark, folder)).select("path", "line", "rule_id")
 
 
+EVAL = next(t for t in FIX_TEMPLATES if t[0] == "py_eval_dangerous")
+
+
+@query(sql.with_files(f"""SELECT path, regexp_replace(text, {quote('(?im)' + EVAL[3])}, {quote(EVAL[4])}) AS fixed,
+  len(regexp_extract_all(text, {quote('(?im)' + EVAL[3])}))::INTEGER AS matches FROM files
+  WHERE language = 'python' AND regexp_matches(text, {quote('(?im)' + EVAL[3])})"""))
+def first_fixes(spark, folder):
+    """Python files with just the first match of a template replaced, and how many matches there are."""
+    regex = to_java(EVAL[3], ignore_case=True, multiline=True)
+    text = F.col("text")
+    rows = files(spark, folder).where((F.col("language") == "python") & text.rlike(regex))
+    return rows.select("path", patch.replace_first(text, regex, to_replacement(EVAL[4])).alias("fixed"),
+                       count_matches(text, regex).alias("matches"))
+
+
 KINDS = ["eval", "XSS", "SQL injection", "insecure tls", "yaml load", "unheard of"]
 
 
