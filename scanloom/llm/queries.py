@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, decontaminate, quality, url_filter
 from .shared import stored
 
 
@@ -18,6 +18,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "reason")
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(table(spark, folder, "documents"), vocabulary(), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -33,6 +38,14 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op4_quality": op4_quality}
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.hits(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
 
 SQL: dict[str, str] = {}
