@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, url_filter
+from . import bpe, decontaminate, quality, sharding, url_filter
 from .shared import stored
 
 
@@ -46,6 +46,33 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
+#: Shards of one megabyte, read whole in one request each.
+SHARD_BYTES = 1 << 20
 
-SQL: dict[str, str] = {}
+
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign(table(spark, folder, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES)
+    return placed.select(F.col("key").alias("doc_id"), F.col("size").alias("n_bytes"), "shard", "depth", "shard_bytes", "shard_rows")
+
+
+OP9_SQL = f"""
+WITH keyed AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+  FROM documents),
+prefixes AS (
+  SELECT doc_id, n_bytes, depth, hash >> (60 - depth) AS prefix FROM keyed, (SELECT unnest(range(61)) AS depth)),
+sizes AS (
+  SELECT depth, prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows FROM prefixes GROUP BY ALL),
+fitting AS (
+  SELECT p.doc_id, min(p.depth) AS depth FROM prefixes p JOIN sizes s USING (depth, prefix)
+  WHERE s.shard_bytes <= {SHARD_BYTES} GROUP BY p.doc_id)
+SELECT p.doc_id, CAST(p.n_bytes AS BIGINT) AS n_bytes,
+       'b' || substr(lpad(bin(p.prefix), 60, '0'), 61 - CAST(p.depth AS INTEGER), CAST(p.depth AS INTEGER)) AS shard,
+       CAST(p.depth AS INTEGER) AS depth, CAST(s.shard_bytes AS BIGINT) AS shard_bytes, CAST(s.shard_rows AS BIGINT) AS shard_rows
+FROM fitting f JOIN prefixes p USING (doc_id, depth) JOIN sizes s USING (depth, prefix)"""
+
+
+QUERIES = {"op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
+
+SQL: dict[str, str] = {"op9_sharding": OP9_SQL}
