@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, sharding, url_filter
+from . import bpe, decontaminate, embedding_dedup, quality, sharding, url_filter
 from .shared import stored
 
 
@@ -23,6 +23,11 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "reason")
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+    return found.select(F.col("key").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(table(spark, folder, "documents"), vocabulary(), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -73,6 +78,6 @@ SELECT p.doc_id, CAST(p.n_bytes AS BIGINT) AS n_bytes,
 FROM fitting f JOIN prefixes p USING (doc_id, depth) JOIN sizes s USING (depth, prefix)"""
 
 
-QUERIES = {"op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
 
 SQL: dict[str, str] = {"op9_sharding": OP9_SQL}
