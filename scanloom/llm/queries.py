@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, quality, sharding, url_filter
+from . import bpe, decontaminate, embedding_dedup, quality, sharding, tool_calls, url_filter
 from .shared import stored
 
 
@@ -43,6 +43,47 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+#: The tools that turns of a conversation stand for.
+TOOLS = [("instruct", "text", "string", True), ("answer", "question", "string", True), ("answer", "turn", "integer", True)]
+
+
+def op5_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user or system turn as a call that needs the call before it, each other turn as the result of the turn before."""
+    turns = table(spark, folder, "conversations")
+
+    def named(back: int):
+        return F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+
+    asks = F.coalesce(F.col("role").isin("user", "system"), F.lit(False))
+    arguments = (F.when(F.col("role") == "user", F.to_json(F.struct(F.col("turn"), F.col("text").alias("question"))))
+                 .otherwise(F.to_json(F.struct("text"))))
+    calls = turns.where(asks).select(
+        named(0).alias("id"), F.when(F.col("role") == "user", "answer").otherwise("instruct").alias("name"), arguments.alias("arguments"),
+        F.when(F.col("turn") == 1, named(1)).when(F.col("turn") > 1, named(2)).alias("need"))
+    results = turns.where(~asks).select(named(1).alias("id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(TOOLS, "name string, field string, type string, required boolean")
+    linked = tool_calls.link(calls, results, schemas)
+    return linked.select("id", "level", "status", F.array_join("errors", ",").alias("errors"), "copies", "json")
+
+
+OP5_SQL = """
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, concat(conv_id, ':', turn) AS id, CASE WHEN role = 'user' THEN 'answer' ELSE 'instruct' END AS name,
+         CASE WHEN role = 'user' THEN json_object('question', text, 'turn', turn) ELSE json_object('text', text) END AS arguments,
+         CASE WHEN turn = 1 THEN concat(conv_id, ':', 0) WHEN turn > 1 THEN concat(conv_id, ':', turn - 2) END AS need
+  FROM conversations WHERE role IN ('user', 'system')),
+results AS (SELECT concat(conv_id, ':', turn - 1) AS id, text AS content FROM conversations WHERE role NOT IN ('user', 'system')),
+levels AS (
+  SELECT id, CAST(0 AS BIGINT) AS level, need IS NOT NULL AS lost FROM calls WHERE need IS NULL OR need NOT IN (SELECT id FROM calls)
+  UNION ALL
+  SELECT c.id, l.level + 1, l.lost FROM calls c JOIN levels l ON c.need = l.id)
+SELECT coalesce(c.id, r.id) AS id, l.level,
+       CASE WHEN c.id IS NULL THEN 'orphan_result' WHEN l.lost THEN 'unknown_need' WHEN r.id IS NULL THEN 'no_result' ELSE 'ok' END AS status,
+       '' AS errors, CAST((c.id IS NOT NULL)::INT + (r.id IS NOT NULL)::INT AS BIGINT) AS copies,
+       CAST(json_object('arguments', c.arguments, 'id', coalesce(c.id, r.id), 'level', l.level, 'name', c.name, 'result', r.content) AS VARCHAR) AS json
+FROM calls c FULL JOIN results r ON c.id = r.id LEFT JOIN levels l ON l.id = c.id"""
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.hits(docs, table(spark, folder, "benchmark"))
@@ -78,6 +119,6 @@ SELECT p.doc_id, CAST(p.n_bytes AS BIGINT) AS n_bytes,
 FROM fitting f JOIN prefixes p USING (doc_id, depth) JOIN sizes s USING (depth, prefix)"""
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
 
-SQL: dict[str, str] = {"op9_sharding": OP9_SQL}
+SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op9_sharding": OP9_SQL}
