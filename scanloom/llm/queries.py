@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, quality, sharding, tool_calls, url_filter
+from . import bpe, decontaminate, embedding_dedup, pii, quality, sharding, tool_calls, url_filter
 from .shared import stored
 
 
@@ -84,6 +84,17 @@ SELECT coalesce(c.id, r.id) AS id, l.level,
 FROM calls c FULL JOIN results r ON c.id = r.id LEFT JOIN levels l ON l.id = c.id"""
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.fit(docs)).select("doc_id", "spans", F.filter("spans", lambda x: ~x["added"]).alias("base"))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.hits(docs, table(spark, folder, "benchmark"))
@@ -119,6 +130,6 @@ SELECT p.doc_id, CAST(p.n_bytes AS BIGINT) AS n_bytes,
 FROM fitting f JOIN prefixes p USING (doc_id, depth) JOIN sizes s USING (depth, prefix)"""
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
 
 SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op9_sharding": OP9_SQL}
