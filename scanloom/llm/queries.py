@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, pii, quality, sharding, tool_calls, url_filter
+from . import bpe, decontaminate, embedding_dedup, lm, pii, quality, sharding, tool_calls, url_filter
 from .shared import stored
 
 
@@ -84,6 +84,14 @@ SELECT coalesce(c.id, r.id) AS id, l.level,
 FROM calls c FULL JOIN results r ON c.id = r.id LEFT JOIN levels l ON l.id = c.id"""
 
 
+def op6_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    return lm.with_scores(docs, model).select(
+        F.col("key").alias("doc_id"), lm.held_out(F.col("key")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pii.spans(docs, pii.fit(docs)).select("doc_id", "spans", F.filter("spans", lambda x: ~x["added"]).alias("base"))
@@ -130,6 +138,6 @@ SELECT p.doc_id, CAST(p.n_bytes AS BIGINT) AS n_bytes,
 FROM fitting f JOIN prefixes p USING (doc_id, depth) JOIN sizes s USING (depth, prefix)"""
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op6_lm": op6_lm, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
 
 SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op9_sharding": OP9_SQL}

@@ -62,7 +62,7 @@ def put(address: str, content: bytes) -> None:
 
 
 def mapped(address: str, dtype) -> np.ndarray:
-    """A file of the shared folder as a read-only memory-mapped array.
+    """A file of the shared folder as a read-only memory-mapped array; empty if there is no such file.
 
     From a store that cannot be mapped it is copied to a local file first, which has
     no name any more once it is mapped and so goes with the process.
@@ -72,9 +72,11 @@ def mapped(address: str, dtype) -> np.ndarray:
         from pyarrow import fs
 
         store, inner = fs.FileSystem.from_uri(address)
+        if store.get_file_info(inner).type == fs.FileType.NotFound:
+            return np.empty(0, dtype)
         with store.open_input_stream(inner) as source, tempfile.NamedTemporaryFile() as copy:
             while block := source.read(1 << 22):
                 copy.write(block)
             copy.flush()
             return np.memmap(copy.name, dtype, "r") if copy.tell() else np.empty(0, dtype)
-    return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+    return np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, dtype)
