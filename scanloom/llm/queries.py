@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, lm, pii, quality, sharding, tool_calls, url_filter
+from . import bpe, decontaminate, embedding_dedup, jaccard_join, lm, pii, quality, sharding, tool_calls, url_filter
 from .shared import stored
 
 
@@ -138,6 +138,11 @@ SELECT p.doc_id, CAST(p.n_bytes AS BIGINT) AS n_bytes,
 FROM fitting f JOIN prefixes p USING (doc_id, depth) JOIN sizes s USING (depth, prefix)"""
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op6_lm": op6_lm, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.groups(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op6_lm": op6_lm, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
 
 SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op9_sharding": OP9_SQL}
