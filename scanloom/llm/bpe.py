@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .words import slices
 
@@ -176,23 +177,24 @@ def _sent(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(content)
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
-    """``key`` and ``ids`` of every row; with ``decoded`` also the text decoded from the ids, in the same pass."""
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False, keep=()) -> DataFrame:
+    """``key``, the columns ``keep`` and ``ids`` of every row; with ``decoded`` also the text decoded from the ids."""
     file = _sent(docs, path)
+    carried = 1 + len(keep)
+    picked = docs.select(*(F.col(name).alias(f"c{i}") for i, name in enumerate([key, *keep])), F.col(text).alias("text"))
+    schema = StructType([*picked.schema.fields[:-1], StructField("ids", ArrayType(IntegerType())),
+                         *[StructField("decoded", StringType())] * decoded])
 
     def run(batches):
         tool = coder(file.value)
         for batch in slices(batches, 1 << 20):
-            ids = [tool.encode(x or "") for x in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
+            ids = [tool.encode(x or "") for x in batch.column(carried).to_pylist()]
+            columns = [*batch.columns[:carried], pa.array(ids, pa.list_(pa.int32()))]
             if decoded:
                 columns.append(pa.array(map(tool.decode, ids), pa.string()))
-            yield pa.record_batch(columns, names)
+            yield pa.record_batch(columns, schema.names)
 
-    picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    names = ["key", "ids", "decoded"][: 2 + decoded]
-    schema = f"key {picked.schema['key'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded
-    return picked.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return picked.mapInArrow(run, schema).withColumnsRenamed({f"c{i}": name for i, name in enumerate([key, *keep])})
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -80,3 +80,14 @@ def mapped(address: str, dtype) -> np.ndarray:
             copy.flush()
             return np.memmap(copy.name, dtype, "r") if copy.tell() else np.empty(0, dtype)
     return np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, dtype)
+
+
+def free(table: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it as long as ``table`` has such a column."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
