@@ -94,7 +94,7 @@ def op6_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = pii.spans(docs, pii.fit(docs)).select("doc_id", "spans", F.filter("spans", lambda x: ~x["added"]).alias("base"))
+    found = pii.spans(docs, pii.fit(docs)).select(F.col("key").alias("doc_id"), "spans", F.filter("spans", lambda x: ~x["added"]).alias("base"))
 
     def written(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
