@@ -57,12 +57,15 @@ def listed_rule(host: Column, path: Column, rules=LISTED) -> Column:
 def tokens_of(url: Column) -> Column:
     """The different tokens of a URL."""
     scheme = F.when(F.instr(url, "://") > 1, F.array(F.concat(F.lit("scheme:"), F.lower(F.substring_index(url, "://", 1)))))
-    named = [F.transform(F.filter(F.split(text, "[^\\p{L}\\p{N}]+"), lambda x: x != ""), lambda x, p=prefix: F.concat(F.lit(p), F.lower(x)))
-             for prefix, text in (("host:", F.regexp_replace(host_of(url), "[^.\\p{L}\\p{N}]", "_")), ("path:", path_of(url)))]
+
+    def named(prefix: str, text: Column) -> Column:
+        words = F.filter(F.split(text, "[^\\p{L}\\p{N}]+"), lambda x: x != "")
+        return F.transform(words, lambda x: F.concat(F.lit(prefix), F.lower(x)))
+
     query = F.regexp_extract(url, "\\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""),
                        lambda x: F.concat(F.lit("query:"), F.lower(F.substring_index(x, "=", 1))))
-    parts = [scheme, *named, keys]
+    parts = [scheme, named("host:", host_of(url)), named("path:", path_of(url)), keys]
     none = F.array().cast("array<string>")
     return F.array_distinct(F.concat(*(F.coalesce(x, none) for x in parts)))
 
