@@ -99,7 +99,10 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     def written(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    def number(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
