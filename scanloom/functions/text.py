@@ -9,7 +9,6 @@ from .regex import let
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 BLANKS = " \t\r\n\x0b\x0c"
 REDACTED = "***REDACTED***"
-LONG_LINE = 2000
 
 
 def is_binary(content: Column) -> Column:
@@ -56,31 +55,23 @@ def truncate_string(text: Column, max_length: int = 100) -> Column:
         F.concat(F.substring(text, 1, max_length - 3), F.lit("...")))
 
 
-def line_table(text: Column) -> Column:
-    """The lines of ``text`` as array<struct<text,parts>>; a very long line also in parts of LONG_LINE characters.
-
-    A minified file is one line with thousands of findings; each would otherwise
-    carry, and look through, the whole file.
-    """
-    return F.transform(F.split(text, "\n"), lambda line: F.struct(
-        line.alias("text"),
-        F.when(F.length(line) > LONG_LINE,
-               F.regexp_extract_all(line, F.lit(f"(?s).{{1,{LONG_LINE}}}"), F.lit(0))).alias("parts")))
+def shown_part(line: Column, column: Column, width: int | None) -> Column:
+    """The line; with a ``width``, of a longer one the stretch of that many characters ``column`` is in and the next."""
+    if width is None:
+        return line
+    begin = F.floor((column - 1) / width).cast("int") * width + 1
+    return F.when(F.length(line) <= width, line).otherwise(line.substr(begin, F.lit(2 * width)))
 
 
-def shown_part(line: Column, column: Column) -> Column:
-    """The line, or of a very long one the part ``column`` is in and the next."""
-    at = F.floor((column - 1) / LONG_LINE).cast("int")
-    return F.when(line["parts"].isNull(), line["text"]).otherwise(
-        F.concat(F.get(line["parts"], at), F.coalesce(F.get(line["parts"], at + 1), F.lit(""))))
+def snippet(lines: Column, line: Column, around: Column, own: Column, width: int | None) -> Column:
+    """The lines from ``around`` before to ``around`` after; ``own`` stands for the line itself.
 
-
-def snippet(lines: Column, line: Column, around: Column, own: Column) -> Column:
-    """The lines from ``around`` before to ``around`` after out of a ``line_table``; ``own`` stands for the line itself."""
+    With a ``width``, its neighbours are shown up to that many characters.
+    """
     first = F.greatest(line - around, F.lit(1))
     near = F.slice(lines, first, line + around - first + 1)
     return F.array_join(F.transform(near, lambda other, i: F.when(first + i == line, own).otherwise(
-        F.coalesce(F.get(other["parts"], F.lit(0)), other["text"]))), "\n")
+        other if width is None else F.substring(other, 1, width))), "\n")
 
 
 def mask(text: Column, matched: Column, kind: Column) -> Column:

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.versions import version_key
 from ..sources.cve_seed import CVE_ROWS
 
-# Ranges up to this many rows (some 20 MB) are broadcast; beyond, the join is salted.
-RANGES_PER_BROADCAST = 100_000
-SALTS = 32
-
 CVE_SCHEMA = """cve_id string, package string, severity string, cvss decimal(3,1), description string,
 affected_versions string, fixed_versions string, cwe string, references array<string>, year int"""
 
@@ -56,11 +52,7 @@ def package_index(cves: DataFrame) -> DataFrame:
 def rule_cves(rules: DataFrame, cves: DataFrame) -> DataFrame:
     """The vulnerabilities each rule is about."""
     named = rules.select("rule_id", F.explode("cves").alias("cve_id"))
-    return named.join(F.broadcast(cves), "cve_id") if _small(cves) else named.join(cves, "cve_id")
-
-
-def _small(table: DataFrame) -> bool:
-    return table.limit(RANGES_PER_BROADCAST + 1).count() <= RANGES_PER_BROADCAST
+    return named.join(cves, "cve_id")
 
 
 def cve_ranges(cves: DataFrame) -> DataFrame:
@@ -85,10 +77,9 @@ def cve_ranges(cves: DataFrame) -> DataFrame:
 def vulnerable(deps: DataFrame, cves: DataFrame) -> DataFrame:
     """Rows of ``deps`` (package, version, ...) with each vulnerability their version falls in.
 
-    Versions that are no dotted numbers match nothing.  A large vulnerability table
-    is not broadcast: equal dependencies are then counted first, the rest get a salt
-    and the ranges one copy per salt, so that a package half the projects use is
-    still spread.  The salt follows from the row, so a task run again gives the same.
+    Versions that are no dotted numbers match nothing.  The vulnerability table is
+    broadcast if its size allows; else a package that half the projects use is a
+    skewed key of a plain join, which adaptive execution splits.
     """
     ranges = cve_ranges(cves).withColumnRenamed("package", "range_package")
     key = version_key(F.col("version"))
@@ -98,12 +89,4 @@ def vulnerable(deps: DataFrame, cves: DataFrame) -> DataFrame:
         return after & ((F.col("version_key") < r["hi"]) | (r["hi_included"] & (F.col("version_key") == r["hi"])))
 
     hit = (F.lower(F.col("package")) == F.col("range_package")) & F.exists("ranges", inside)
-    if _small(ranges):
-        joined = deps.withColumn("version_key", key).join(F.broadcast(ranges), hit)
-        return joined.select(*deps.columns, "cve_id")
-    counted = deps.groupBy(*deps.columns).agg(F.count("*").alias("copies")).withColumn("version_key", key)
-    counted = counted.withColumn("salt", F.pmod(F.xxhash64(*deps.columns), F.lit(SALTS)).cast("int"))
-    ranges = ranges.withColumn("range_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    joined = counted.join(ranges, (F.col("salt") == F.col("range_salt")) & hit)
-    every = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    return joined.select(*deps.columns, "cve_id", every).drop("copy")
+    return deps.withColumn("version_key", key).join(ranges, hit).select(*deps.columns, "cve_id")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regex import END, EXTRA, HIT, START, clean, find_all, let
-from ..functions.text import LONG_LINE, line_table, shown_part, snippet, strip
+from ..functions.text import shown_part, snippet, strip
 
 IDENT = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 # A name is tried from its first part only: a later part ends at the same place.
@@ -79,19 +79,20 @@ def by_language(make) -> Column:
     return chosen.otherwise(F.lit(make("javascript")))
 
 
-def dress(hits: Column, lines: Column, around: Column) -> Column:
-    """Add the hit's own line, its snippet and whether it begins the line; ``lines`` is a ``line_table``."""
+def dress(hits: Column, lines: Column, around: Column, width: int | None = None) -> Column:
+    """Add the hit's own line, its snippet and whether it begins the line; ``width`` shortens long lines in the snippet only."""
 
     def add(both):
         def one(hit):
             def with_own(own):
-                shown = (F.when(around < 0, hit["matched"]).when(around == 0, strip(own))
-                         .otherwise(snippet(both["lines"], hit["line"], around, own)))
-                begins = (hit["column_start"] <= LONG_LINE) & (
-                    strip(own.substr(F.lit(1), hit["column_start"] - 1)) == "")
+                part = shown_part(own, hit["column_start"], width)
+                shown = (F.when(around < 0, hit["matched"]).when(around == 0, strip(part))
+                         .otherwise(snippet(both["lines"], hit["line"], around, part, width)))
+                # Blanks are looked for as blanks: a long line is not cut out for each of its hits.
+                begins = (hit["column_start"] == 1) | (F.length(F.regexp_extract(own, r"^[ \t\r\x0b\x0c]*+", 0)) >= hit["column_start"] - 1)
                 return F.struct(hit["line"], hit["column_start"], hit["matched"], hit["extra"],
                                 own.alias("own_line"), shown.alias("snippet"), begins.alias("begins_line"))
-            return let(shown_part(F.get(both["lines"], hit["line"] - 1), hit["column_start"]), with_own)
+            return let(F.get(both["lines"], hit["line"] - 1), with_own)
         return F.transform(both["hits"], one)
 
     return let(F.struct(hits.alias("hits"), lines.alias("lines")), add)
@@ -105,7 +106,7 @@ def context_lines() -> Column:
 
 def _facts(texts: DataFrame, make, keep) -> DataFrame:
     hits = F.filter(find_all(F.col("text"), by_language(make), SKIP_TEXT_OUT), keep)
-    shown = dress(hits, line_table(clean(F.col("text"))), context_lines())
+    shown = dress(hits, F.split(clean(F.col("text")), "\n"), context_lines())
     return texts.select("path", "language", F.explode(shown).alias("hit"))
 
 

@@ -4,28 +4,42 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.regex import clean, let
-from ..session import stored
 from ..sources.fix_templates import rule_templates, templates_frame
-from .validate import CHECKS, all_valid, failures, validate
+from .validate import CHECKS, VALIDATION, all_valid, failures, validate
 
 CONTEXT = 3
-# A list of places to patch with up to this many rows (some 50 MB) is broadcast to the texts.
-FILES_PER_BROADCAST = 100_000
+
+
+def _templates(spark: SparkSession) -> DataFrame:
+    """One row per rule, language and template."""
+    fields = templates_frame(spark).select("template_id", F.explode("languages").alias("language"), "regex", "replacement", "manual_review")
+    return F.broadcast(rule_templates(spark).join(fields, "template_id"))
 
 
 def with_templates(findings: DataFrame) -> DataFrame:
     """Findings a template can mend, with the template's fields."""
-    spark = findings.sparkSession
-    templates = rule_templates(spark).join(
-        templates_frame(spark).select("template_id", "languages", "regex", "replacement", "manual_review"),
-        "template_id")
-    fits = findings.join(F.broadcast(templates), "rule_id")
-    return fits.where(F.array_contains("languages", F.col("language"))).drop("languages")
+    return findings.join(_templates(findings.sparkSession), ["rule_id", "language"])
+
+
+def without_template(findings: DataFrame) -> DataFrame:
+    """Findings that no template of their rule can mend in their language."""
+    return findings.join(_templates(findings.sparkSession).select("rule_id", "language"), ["rule_id", "language"], "left_anti")
+
+
+def failed_results(findings: DataFrame, dry_run: bool) -> DataFrame:
+    """Patch results of findings without a template: failures that say so."""
+    nothing, text = F.lit(""), "string"
+    return without_template(findings).select(
+        "path", "language", "rule_id", F.lit(None).cast(text).alias("template_id"), "line", nothing.alias("original_code"),
+        nothing.alias("patched_code"), F.array().cast("array<string>").alias("diff"),
+        F.array().cast(f"array<{VALIDATION}>").alias("validations"), F.lit(False).alias("success"), F.lit(dry_run).alias("dry_run"),
+        F.lit(False).alias("requires_manual_review"),
+        F.concat(F.lit("nothing to mend "), "rule_id", F.lit(" with in "), F.coalesce("language", F.lit("this language"))).alias("error_message"))
 
 
 def unpatchable(findings: DataFrame) -> DataFrame:
@@ -117,20 +131,17 @@ def patch_columns(rows: DataFrame, dry_run: bool) -> DataFrame:
 
 
 def join_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``texts`` with the rows of ``wanted`` on ``path``; a short list is broadcast, not the texts shuffled.
+    """``texts`` with the rows of ``wanted`` on ``path``.
 
-    ``wanted`` comes out of a scan, so it is stored before it is counted.  A long
-    list is joined by path; a file with very many places is a skewed key there,
-    which adaptive execution splits.
+    Adaptive execution broadcasts a list that turns out short by its bytes; in a longer
+    one, a file with very many places is a skewed key, which it splits.
     """
-    wanted = stored(wanted)
-    few = wanted.limit(FILES_PER_BROADCAST + 1).count() <= FILES_PER_BROADCAST
-    return texts.join(F.broadcast(wanted) if few else wanted, "path")
+    return texts.join(wanted, "path")
 
 
 def patch_each(texts: DataFrame, findings: DataFrame, custom_fix=None, dry_run: bool = True,
                checks=CHECKS) -> DataFrame:
-    """Every finding's patch by itself, on the text as it is.
+    """Every finding's patch by itself, on the text as it is; a failure where there is no template.
 
     ``custom_fix`` takes the section column and gives the fixed one, for example by
     a pandas UDF; it stands in for the templates.
@@ -154,7 +165,8 @@ def patch_each(texts: DataFrame, findings: DataFrame, custom_fix=None, dry_run:
         def apply(section):
             return F.regexp_replace(section, F.col("regex"), F.col("replacement"))
     attempt = _attempt(F.col("lines"), F.col("line"), F.col("language"), apply, checks)
-    return patch_columns(rows.withColumn("attempt", attempt), dry_run)
+    done = patch_columns(rows.withColumn("attempt", attempt), dry_run)
+    return done if custom_fix else done.unionByName(failed_results(findings, dry_run))
 
 
 def preview(texts: DataFrame, findings: DataFrame) -> DataFrame:

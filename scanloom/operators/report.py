@@ -123,6 +123,19 @@ def read_scan(findings: DataFrame, scan_id: str) -> DataFrame:
     return findings.where(F.col("scan_id") == scan_id)
 
 
+def report_of(findings: DataFrame, scans: DataFrame, scan_id: str) -> DataFrame:
+    """One row: a stored scan's totals, or for an unknown id ``known`` false and the ids of the last ten scans.
+
+    ``scans`` has ``scan_id`` and ``scan_ts``; a scan without findings is a known one.
+    """
+    found = scans.where(F.col("scan_id") == scan_id).agg((F.count("*") > 0).alias("known"))
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
+    totals = read_scan(findings, scan_id).agg(*counts, F.count("*").alias("total"))
+    last = latest_scans(scans).agg(F.array_sort(F.collect_list("scan_id")).alias("last_scans"))
+    one = found.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(last))
+    return one.select(F.lit(scan_id).alias("scan_id"), "known", "total", *SEVERITIES, F.when(~F.col("known"), F.col("last_scans")).alias("last_scans"))
+
+
 def latest_scans(scans: DataFrame, n: int = 10) -> DataFrame:
     """The last scans of a table with ``scan_id`` and ``scan_ts``."""
     return scans.orderBy(F.desc("scan_ts"), F.desc("scan_id")).limit(n)

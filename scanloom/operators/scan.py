@@ -11,7 +11,6 @@ shuffled, to drop duplicates, after a partial aggregate in each task.
 """
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,15 +18,15 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import FIND, clean, fold, hits_in, let, mark
 from ..functions.severity import SEVERITY_RANK
-from ..functions.text import line_table, mask
+from ..functions.text import mask
 from ..rules.catalog import ANY_LANGUAGE, FILE, LINE, RULE_COLUMNS, builtin_rules
 from .detectors import CALL_RULES, DEFER, PARSE, fact_patterns, with_fact_rules
 from .facts import defer_in_loop, dress, parse_in_try
 from .fixes import line_fix, template_fix
 
-# A rule table up to this many rules is broadcast whole (a few MB at most); a
-# larger one is worked through in parts of this size.
-RULES_PER_BROADCAST = 5_000
+# Patterns are broadcast up to this many bytes at a time; a larger rule table is
+# worked through in parts, each of which reads the texts again.
+PATTERN_BYTES = 64 << 20
 
 # Packs that report a rule once per line; the others report each different match.
 ONCE_A_LINE = ("python", "rust")
@@ -64,7 +63,7 @@ def pattern_rows(rules: list[dict], facts: bool = True) -> list[tuple]:
         for pack, language, scope, finder, replacement, words, names, context in fact_patterns() if pack in packs]
 
 
-def text_hits(text: Column) -> Column:
+def text_hits(text: Column, width: int | None = None) -> Column:
     """Hits of the joined pattern in ``text`` that pass its conditions."""
     scope = F.col("scope")
     found = F.when(scope == DEFER, defer_in_loop(text)).otherwise(
@@ -78,25 +77,42 @@ def text_hits(text: Column) -> Column:
 
         def choose(both):
             def keep(hit, i):
-                own = F.get(both["lines"], hit["line"] - 1)["text"]
+                own = F.get(both["lines"], hit["line"] - 1)
                 first = ~F.col("once") | (i == 0) | (F.get(hits, i - 1)["line"] != hit["line"])
                 guarded = F.coalesce(F.regexp_like(own, F.col("guard")), F.lit(False))
                 safe = F.coalesce(F.get(both["in_try"], i), F.lit(False))
                 return first & ~guarded & ~safe & F.forall("must", lambda m: F.regexp_like(own, m))
 
-            return dress(F.filter(hits, keep), both["lines"], F.col("context"))
+            return dress(F.filter(hits, keep), both["lines"], F.col("context"), width)
 
-        both = F.struct(line_table(text).alias("lines"), in_try.alias("in_try"))
+        both = F.struct(F.split(text, "\n").alias("lines"), in_try.alias("in_try"))
         return F.when(F.size(hits) > 0, let(both, choose))
 
     exact = F.filter(found, lambda h: (scope != PARSE) | (h["matched"] == "JSON.parse"))
     return let(F.when(F.col("names").isNull(), found).otherwise(F.filter(exact, named)), passing)
 
 
-def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True, keep=()) -> DataFrame:
+def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True, keep=(), width: int | None = None) -> DataFrame:
     """path, language, pack, rule_id and hit of ``rules`` in ``texts``, with the columns to ``keep``."""
+    parts = pattern_parts(pattern_rows(rules, facts))
+    return reduce(DataFrame.unionByName, [_part_hits(texts, rows, facts, keep, width) for rows in parts])
+
+
+def pattern_parts(rows: list[tuple]) -> list[list[tuple]]:
+    """The rows in parts small enough to broadcast."""
+    parts, size = [[]], 0
+    for row in rows:
+        own = len(repr(row)) * 2
+        if parts[-1] and size + own > PATTERN_BYTES:
+            parts.append([])
+            size = 0
+        parts[-1].append(row)
+        size += own
+    return parts
+
+
+def _part_hits(texts: DataFrame, rows: list[tuple], facts: bool, keep, width: int | None) -> DataFrame:
     spark = texts.sparkSession
-    rows = pattern_rows(rules, facts)
     patterns = spark.createDataFrame(rows, PATTERN_SCHEMA)
     known = sorted({row[2] for row in rows})
     keys = F.array_intersect(F.array(F.lit(ANY_LANGUAGE), F.coalesce("language", F.lit(ANY_LANGUAGE))),
@@ -107,7 +123,7 @@ def hits_of(texts: DataFrame, rules: list[dict], facts: bool = True, keep=()) ->
     may_match = F.forall("words", lambda some: F.exists(some, lambda word: F.col("folded").contains(word)))
     pairs = keyed.join(F.broadcast(patterns), (F.col("text_language") == F.col("rule_language")) & may_match)
     hits = pairs.select("path", "language", *keep, "pack", "rule_id", "scope",
-                        F.explode(text_hits(F.col("text"))).alias("hit"))
+                        F.explode(text_hits(F.col("text"), width)).alias("hit"))
     return with_fact_rules(hits, keep) if facts else hits.drop("scope")
 
 
@@ -139,9 +155,10 @@ def with_rules(hits: DataFrame, rules: list[dict], keep=()) -> DataFrame:
     """Add the rule's fields; a rule id can stand in several packs and languages."""
     rows = [(r["pack"], r["rule_id"], r["language"], *[r[f] for f in RULE_FIELDS]) for r in rules]
     known = hits.sparkSession.createDataFrame(rows, KNOWN_SCHEMA)
+    known = F.broadcast(known) if len(repr(rows)) * 2 <= PATTERN_BYTES else known
     same = ((F.col("pack") == F.col("known_pack")) & (F.col("rule_id") == F.col("known_id"))
             & F.col("known_language").isin(F.lit(ANY_LANGUAGE), F.col("language")))
-    joined = hits.join(F.broadcast(known), same)
+    joined = hits.join(known, same)
     return joined.withColumn("fixed_code", F.coalesce(
         "fixed_code", template_fix(F.col("fix_template"), F.col("matched_code")))).select(*FINDING_COLUMNS, *keep)
 
@@ -156,31 +173,27 @@ def hide_secrets(findings: DataFrame) -> DataFrame:
             .drop("mask"))
 
 
-def rule_parts(rules, threshold: str, packs=None) -> list[list[dict]]:
-    """The active rules in parts small enough to broadcast; ``rules`` is a table or rows."""
+def active_rules(rules, threshold: str, packs=None) -> list[dict]:
+    """The active ones of a rule table, of rows of one, or of the shipped rules."""
     if isinstance(rules, DataFrame):
-        rules = rules.select(*RULE_COLUMNS)
-        parts = max(1, math.ceil(rules.count() / RULES_PER_BROADCAST))
-        slot = F.pmod(F.xxhash64("pack", "rule_id", "language"), F.lit(parts))
-        return [active(rules.where(slot == i).collect(), threshold, packs) for i in range(parts)]
-    rows = active(builtin_rules() if rules is None else rules, threshold, packs)
-    return [rows[i:i + RULES_PER_BROADCAST] for i in range(0, max(1, len(rows)), RULES_PER_BROADCAST)]
+        rules = rules.select(*RULE_COLUMNS).collect()
+    return active(builtin_rules() if rules is None else rules, threshold, packs)
 
 
-def scan(texts: DataFrame, rules=None, packs=None, threshold: str = "medium",
-         facts: bool = True, masked: bool = True, scan_id: str | None = None) -> DataFrame:
+def scan(texts: DataFrame, rules=None, packs=None, threshold: str = "medium", facts: bool = True, masked: bool = True,
+         scan_id: str | None = None, width: int | None = None) -> DataFrame:
     """Findings of ``rules`` (all shipped ones by default) in ``texts``.
 
     ``texts`` has ``path``, ``language`` and ``text``; ``rules`` is a rule table or
-    rows of one.  ``facts`` adds the rules on calls, assignments and loops.
+    rows of one.  ``facts`` adds the rules on calls, assignments and loops.  A ``width``
+    shortens longer lines in snippets, which minified files need: there, each of
+    thousands of findings would show the whole file.  Matches and fixes are whole anyway.
     """
-    found = []
-    for part in rule_parts(rules, threshold, packs):
-        if part:
-            found.append(with_rules(dedupe(keyed_hits(hits_of(texts, part, facts))), part))
-    if not found:
-        found = [no_findings(texts.sparkSession)]
-    findings = reduce(DataFrame.unionByName, found)
+    chosen = active_rules(rules, threshold, packs)
+    if chosen:
+        findings = with_rules(dedupe(keyed_hits(hits_of(texts, chosen, facts, width=width))), chosen)
+    else:
+        findings = no_findings(texts.sparkSession)
     findings = hide_secrets(findings) if masked else findings.drop("mask")
     return findings.withColumn("scan_id", F.lit(scan_id)) if scan_id else findings
 

@@ -606,7 +606,7 @@ patched AS MATERIALIZED (SELECT *, {_replaced()} AS patched_code FROM (
 def patched_sections(spark, folder):
     """Each finding's section before and after its template."""
     texts = files(spark, folder)
-    rows = patch.patch_each(texts, one_per_line(reported(spark, folder)))
+    rows = patch.patch_each(texts, one_per_line(reported(spark, folder))).where("template_id IS NOT NULL")
     return rows.select("path", "rule_id", "template_id", "line", "original_code", "patched_code",
                        "requires_manual_review")
 
@@ -632,14 +632,18 @@ def _not_added(language: str) -> str:
 CODE_ONLY = "regexp_replace(after, '\"[^\"\\n]*\"|''[^''\\n]*''|#[^\\n]*', '', 'g')"
 
 
-@query(sql.with_files(f"""SELECT path, rule_id, template_id, line, CASE language
+JUDGED = f"""SELECT path, rule_id, template_id, line, CASE language
   WHEN 'python' THEN {_paired(CODE_ONLY, "{{}} () []".replace("{{}}", "{}"))} AND {_not_added('python')}
   WHEN 'javascript' THEN {_paired('after', "{} () []")} AND {_not_added('javascript')}
   ELSE {_paired('after', "{}")} AND {_not_added('go')} END AS success FROM (
-  SELECT *, array_to_string(head || string_split(patched_code, chr(10)) || tail, chr(10)) AS after FROM patched)""",
-  SECTIONS))
+  SELECT *, array_to_string(head || string_split(patched_code, chr(10)) || tail, chr(10)) AS after FROM patched)
+UNION ALL SELECT f.path, f.rule_id, NULL, f.line, false FROM findings f JOIN files USING (path)
+WHERE NOT EXISTS (SELECT 1 FROM {_fix_values()} WHERE fix.rule_id = f.rule_id AND fix_language = language)"""
+
+
+@query(sql.with_files(JUDGED, SECTIONS))
 def patch_results(spark, folder):
-    """Each finding's patch, checked on the whole file: brackets, indents, nothing dangerous added."""
+    """Each finding's patch, checked on the whole file: brackets, indents, nothing dangerous added; a failure without a template."""
     rows = patch.patch_each(files(spark, folder), one_per_line(reported(spark, folder)))
     return rows.select("path", "rule_id", "template_id", "line", "success")
 
@@ -662,13 +666,14 @@ def patched_files(spark, folder):
                        F.size(F.filter("patches", lambda p: p["success"])).alias("applied"))
 
 
-@query(sql.with_files("""SELECT count(*) AS total_patches, count(DISTINCT path) AS files_patched,
+@query(sql.with_files(f"""SELECT count(*) AS total_patches, count(*) FILTER (success) AS successful,
+  count(*) FILTER (NOT success) AS failed, count(DISTINCT path) AS files_patched,
   count(*) AS dry_runs, string_agg(DISTINCT template_id, ',' ORDER BY template_id) AS vulnerability_types
-  FROM patched""", SECTIONS))
+  FROM ({JUDGED})""", SECTIONS))
 def patch_totals(spark, folder):
     rows = patch.patch_each(files(spark, folder), one_per_line(reported(spark, folder)))
     totals = patch.patch_summary(rows, "template_id")
-    return totals.select("total_patches", "files_patched", "dry_runs",
+    return totals.select("total_patches", "successful", "failed", "files_patched", "dry_runs",
                          F.array_join("vulnerability_types", ",").alias("vulnerability_types"))
 
 
@@ -693,10 +698,18 @@ def first_fixes(spark, folder):
                        count_matches(text, regex).alias("matches"))
 
 
-KINDS = ["eval", "XSS", "SQL injection", "insecure tls", "yaml load", "unheard of"]
+KINDS = ["eval", "XSS", "SQL injection", "insecure tls", "yaml load", "unheard of", "unsafe pickle", "weak random"]
+
+
+def _by_word() -> str:
+    """(place, language, word, template_id): each word of a template's id, in the templates' order."""
+    rows = [f"({place}, '{language}', '{word}', '{t[0]}')" for place, t in enumerate(FIX_TEMPLATES)
+            for language in t[1] for word in t[0].split("_")]
+    return "(VALUES " + ", ".join(rows) + ") AS w(place, word_language, word, likely)"
 
 
-@query(sql.with_files(f"""SELECT path, kind, language, template_id FROM (
+@query(sql.with_files(f"""SELECT path, kind, language, coalesce(template_id, (SELECT arg_min(likely, place) FROM {_by_word()}
+    WHERE word_language = language AND contains(lower(kind), word))) AS template_id FROM (
   SELECT path, {KINDS!r}[o_orderkey % {len(KINDS)} + 1] AS kind, language FROM files)
   LEFT JOIN (VALUES ('eval','python','py_eval_dangerous'), ('eval','javascript','js_eval_dangerous'),
     ('xss','javascript','js_innerhtml_xss'), ('sql injection','python','py_sql_injection_string'),
@@ -704,7 +717,7 @@ KINDS = ["eval", "XSS", "SQL injection", "insecure tls", "yaml load", "unheard o
     ('yaml load','python','py_yaml_unsafe')) AS k(known, known_language, template_id)
   ON lower(kind) = known AND language = known_language"""))
 def templates_by_kind(spark, folder):
-    """The template for a kind of vulnerability in a language, null where there is none."""
+    """The template for a kind of vulnerability in a language, a likely one for kinds not known, else null."""
     rows = code_files(read_table(spark, f"{folder}/orders.parquet", "o_orderkey", "o_custkey"))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.pmod("o_orderkey", F.lit(len(KINDS))).cast("int") + 1)
     return template_for_kind(rows.select("path", kind.alias("kind"), "language"))
@@ -719,8 +732,8 @@ def event_findings(spark: SparkSession, folder: str) -> DataFrame:
     line = F.element_at(F.array(*[F.lit(x) for x in lines]), F.pmod("event_id", F.lit(len(lines))).cast("int") + 1)
     texts = events.select(F.concat_ws("/", F.lit("user"), "user_id", "event_id").alias("path"),
                           F.lit("python").alias("language"), line.alias("text"), F.col("ts").cast("timestamp"))
-    from ..operators.scan import hits_of, keyed_hits, rule_parts, with_rules
-    rules = rule_parts(None, "info", ["pattern"])[0]
+    from ..operators.scan import active_rules, hits_of, keyed_hits, with_rules
+    rules = active_rules(None, "info", ["pattern"])
     rows = with_rules(keyed_hits(hits_of(texts, rules, False, keep=("ts",)), keep=("ts",)), rules, keep=("ts",))
     # One event is one text, so its duplicates share the time.
     return rows.dropDuplicates(["finding_id"])

@@ -230,9 +230,11 @@ def enable_rules(rules: DataFrame, rule_ids: list[str]) -> DataFrame:
     return rules.withColumn("enabled", F.col("rule_id").isin(rule_ids))
 
 
-def list_rules(rules: DataFrame) -> DataFrame:
-    return rules.select(
+def list_rules(rules: DataFrame, category: str | None = None) -> DataFrame:
+    """The rules, or those of a category."""
+    chosen = rules if category is None else rules.where(F.lower("category") == category.lower())
+    return chosen.select(
         F.col("rule_id"), F.coalesce("name", F.col("rule_id")).alias("name"),
         F.coalesce("severity", F.lit("medium")).alias("severity"),
         F.coalesce("language", F.lit("any")).alias("language"),
-        F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("cwe", F.lit("N/A")).alias("cwe"))
+        F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("cwe", F.lit("N/A")).alias("cwe"), "category")

@@ -1,9 +1,7 @@
 """Session settings for tests and benches; a cluster brings its own session."""
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -17,21 +15,8 @@ def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.scanloom.spread", str(partitions))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def stored(table: DataFrame) -> DataFrame:
-    """``table`` computed once and kept in the shared folder, where it survives lost executors.
-
-    The folder is the one ``spark.checkpoint.dir`` names; only where it is unset, as
-    in tests, is a temporary one made.
-    """
-    spark = table.sparkSession
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scanloom-"))
-    return table.checkpoint()

@@ -5,7 +5,9 @@ kinds of vulnerability to templates.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.regex import to_java, to_replacement
@@ -106,9 +108,20 @@ def fixes_by_language(spark: SparkSession) -> DataFrame:
             .groupBy("language").agg(F.sort_array(F.collect_list("template_id")).alias("templates")))
 
 
+def likely_template(kind: Column, language: Column) -> Column:
+    """The first template for the language with a word of its id in the kind."""
+    kind, language = F.lower(kind), F.lower(language)
+    chosen = F.when(F.lit(False), F.lit(None).cast("string"))
+    for template, languages, *_ in TEMPLATES:
+        named = [kind.contains(word) for word in template.split("_")]
+        chosen = chosen.when(language.isin([x.lower() for x in languages]) & reduce(Column.__or__, named), F.lit(template))
+    return chosen
+
+
 def template_for_kind(kinds: DataFrame) -> DataFrame:
-    """The template for each row's ``kind`` and ``language``, null where there is none."""
+    """The template for each row's ``kind`` and ``language``: the known one, else a likely one, else null."""
     table = kind_templates(kinds.sparkSession).select(
         F.col("kind").alias("known_kind"), F.col("language").alias("known_language"), "template_id")
     same = ((F.lower(F.col("kind")) == F.col("known_kind")) & (F.lower(F.col("language")) == F.col("known_language")))
-    return kinds.join(F.broadcast(table), same, "left").drop("known_kind", "known_language")
+    found = kinds.join(F.broadcast(table), same, "left").drop("known_kind", "known_language")
+    return found.withColumn("template_id", F.coalesce("template_id", likely_template(F.col("kind"), F.col("language"))))

@@ -9,15 +9,15 @@ from ..functions.regex import END, START, find_all
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """A Parquet table, spread over the cores if it comes in fewer splits than there are.
+    """Columns of a Parquet table, in the splits it is read in.
 
-    That is the case only for small tables (a split holds at most
-    ``spark.sql.files.maxPartitionBytes``), so nothing large is shuffled here.
+    Sessions for tests and benches set ``spark.scanloom.spread``: their tables are files
+    of one row group, which only a shuffle spreads over the cores.
     """
     table = spark.read.parquet(path)
     table = table.select(*columns) if columns else table
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    spread = spark.conf.get("spark.scanloom.spread", None)
+    return table.repartition(int(spread)) if spread else table
 
 
 def as_texts(table: DataFrame, name: str, key: str | Column, text: str | Column,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.language import file_name, is_skipped, language_of
 from ..functions.text import decode_bytes, is_binary
-from ..operators.scan import hide_secrets, hits_of, keyed_hits, rule_parts, with_rules
+from ..operators.scan import active_rules, hide_secrets, hits_of, keyed_hits, with_rules
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -35,16 +35,14 @@ def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
 
 
 def scan_stream(texts: DataFrame, rules=None, packs=None, threshold: str = "medium", facts: bool = True,
-                delay: str = "1 hour") -> DataFrame:
+                delay: str = "1 hour", width: int | None = None) -> DataFrame:
     """Findings of a stream of texts with a ``ts`` column, each once within ``delay``."""
-    parts = rule_parts(rules, threshold, packs)
-    if len(parts) > 1:
-        raise ValueError("a stream takes at most one broadcast's worth of rules; start one stream per part")
-    found = keyed_hits(hits_of(texts, parts[0], facts, keep=("ts",)), keep=("ts",))
+    chosen = active_rules(rules, threshold, packs)
+    found = keyed_hits(hits_of(texts, chosen, facts, keep=("ts",), width=width), keep=("ts",))
     # A session without time zones gives plain timestamps, which watermarks refuse.
     found = found.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     found = found.dropDuplicatesWithinWatermark(["finding_id"])
-    return hide_secrets(with_rules(found, parts[0], keep=("ts",)))
+    return hide_secrets(with_rules(found, chosen, keep=("ts",)))
 
 
 def window_counts(findings: DataFrame, length: str = "1 hour", slide: str | None = None) -> DataFrame:

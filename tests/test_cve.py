@@ -1,12 +1,14 @@
 import random
 
+from pyspark.sql import functions as F
+
 from scanloom.operators import cve
 from scanloom.sources.cve_seed import CVE_ROWS
 
 
 def key(version):
     parts = version.strip().split(".")
-    return tuple(int(p) for p in parts) + (0,) * (6 - len(parts)) if all(p.isdigit() for p in parts) else None
+    return tuple(int(p) for p in parts) + (0,) * (9 - len(parts)) if all(p.isdigit() for p in parts) else None
 
 
 def affected(version, ranges):
@@ -40,14 +42,27 @@ def want(rows):
                   if package.lower() == r[1] and affected(v, r[4]))
 
 
-def test_versions_in_ranges_with_broadcast_and_with_salt(spark, monkeypatch):
+def test_versions_in_ranges_with_broadcast_and_without(spark):
     rows = made()
     deps = spark.createDataFrame(rows, "project string, package string, version string")
     got = sorted(tuple(r) for r in cve.vulnerable(deps, cve.cve_frame(spark)).collect())
     assert got == want(rows)
-    monkeypatch.setattr(cve, "RANGES_PER_BROADCAST", 3)
-    salted = cve.vulnerable(deps, cve.cve_frame(spark))
-    assert sorted(tuple(r) for r in salted.collect()) == want(rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(tuple(r) for r in cve.vulnerable(deps, cve.cve_frame(spark)).collect()) == want(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_versions_of_any_length(spark):
+    from scanloom.functions.versions import version_key
+
+    ordered = ["0", "0.0.1", "1.2", "1.2.3.4.5.6.7", "1.2.3.4.5.6.7.0.1", "1.10", "2", "00123456789012345678901234567890", "9" * 40]
+    rows = spark.createDataFrame([(v,) for v in [*ordered, "1.x", "", "1..2", None, ".1", "-1"]], "v string")
+    keyed = rows.select("v", version_key(F.col("v")).alias("k"))
+    assert [r.v for r in keyed.where("k is not null").orderBy("k").collect()] == ordered
+    equal = spark.createDataFrame([("3.14", "3.14.0.0"), ("0", "0.0.0"), (" 1.02 ", "1.2")], "a string, b string")
+    assert equal.where(version_key(F.col("a")) != version_key(F.col("b"))).count() == 0
 
 
 def test_version_order_is_by_number(spark):

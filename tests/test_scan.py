@@ -75,7 +75,7 @@ def test_scan_equals_brute_force(spark, texts):
 def test_rules_in_parts_and_as_a_table_give_the_same(spark, texts, monkeypatch):
     rows = made_texts(30)
     whole = sorted(r.finding_id for r in scan(texts(*rows)).collect())
-    monkeypatch.setattr(scan_module, "RULES_PER_BROADCAST", 60)
+    monkeypatch.setattr(scan_module, "PATTERN_BYTES", 20_000)
     assert sorted(r.finding_id for r in scan(texts(*rows)).collect()) == whole
     assert sorted(r.finding_id for r in scan(texts(*rows), rules=rules_frame(spark)).collect()) == whole
 
