@@ -17,6 +17,8 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     """The address of a new folder for ``what``."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="scanloom-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
