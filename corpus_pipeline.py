@@ -9,20 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import bpe, decontaminate, jaccard_join, pii, quality
-from scanloom.llm.queries import vocabulary
-from scanloom.llm.shared import free, stored
+from scanloom.llm.queries import table, vocabulary
+from scanloom.llm.shared import free, ship, stored
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones among ``docs``."""
+    ship(spark)
     vectored = stored(quality.vectors(docs), "vectors")
-    model = quality.fit(vectored.where(~quality.held_out(F.col("key"))), spark.read.parquet(f"{folder}/labels.parquet"))
+    model = quality.fit(vectored.where(~quality.held_out(F.col("key"))), table(spark, folder, "labels"))
     name, = free(docs, "score")
     return quality.with_score(docs, model, name=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of every group of near-duplicates the document with the least id, once; documents without an id all stay."""
+    ship(spark)
     found = stored(jaccard_join.groups(docs), "groups").where("id is not null")
     counted = found.groupBy("id", "component").agg(F.count("*").alias("rows"))
     gone = counted.where((F.col("id") != F.col("component")) | (F.col("rows") > 1)).select(F.col("id").alias("doc_id"))
@@ -42,18 +44,20 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Contaminated documents go; from the others every occurrence of a benchmark window is cut."""
     names = free(docs, "n_words", "n_hit", "items", "spans")
-    found = decontaminate.hits(docs, spark.read.parquet(f"{folder}/benchmark.parquet"), names=names)
+    found = decontaminate.hits(docs, table(spark, folder, "benchmark"), names=names)
     clean = found.where(~decontaminate.contaminated(F.col(names[1]), F.col(names[0])))
     return _recounted(decontaminate.cut(clean, spans=names[3]).drop(*names))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Personal data replaced by the name of its kind."""
+    ship(spark)
     return _recounted(pii.masked(docs, pii.fit(docs)))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of every document, their number, and digests of the ids and of the text decoded from them."""
+    ship(spark)
     coded = bpe.encode(docs, vocabulary(), decoded=True, keep=["lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -65,7 +69,7 @@ STAGES = [("quality", keep_good), ("near_duplicates", keep_one_of_each_group), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

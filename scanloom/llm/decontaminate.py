@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .shared import must_be_free
 from .words import ALNUM, hash_words, slices, words
 
 WINDOW = 13
@@ -228,6 +229,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
     A span is [first, end) in words. ``names`` are the new columns' names and must be free.
     """
+    must_be_free(docs, names)
     place, old = docs.columns.index(text), len(docs.columns)
     added = [StructField(names[0], LongType()), StructField(names[1], LongType()),
              StructField(names[2], ArrayType(StringType())), StructField(names[3], ArrayType(ArrayType(LongType())))]

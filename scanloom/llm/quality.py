@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .shared import must_be_free
 from .words import BLANK, LINE, slices, words
 
 FEATURES = ["log_bytes", "log_words", "word_length", "upper", "digits", "stops", "symbols", "other_scripts",
@@ -174,6 +175,7 @@ def score(vectored: DataFrame, model: Model) -> DataFrame:
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "quality_score") -> DataFrame:
     """All columns of ``docs`` and the score (``name`` must be free), in one pass over the texts and no shuffle."""
+    must_be_free(docs, [name])
     place = docs.columns.index(text)
 
     def run(batches):

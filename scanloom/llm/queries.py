@@ -5,11 +5,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, embedding_dedup, jaccard_join, lm, pii, quality, sharding, tool_calls, url_filter
-from .shared import stored
+from .shared import ship, stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return ship(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def vocabulary() -> str:

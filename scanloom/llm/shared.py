@@ -5,7 +5,9 @@ tests on one machine, is a temporary folder made and put there.
 """
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -84,6 +86,25 @@ def mapped(address: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, dtype)
 
 
+def must_be_free(table: DataFrame, names) -> None:
+    """Refuse names of new columns that ``table`` has already."""
+    taken = {c.lower() for c in table.columns} & {name.lower() for name in names}
+    if taken:
+        raise ValueError(f"the table has columns named {sorted(taken)}; give others for the new ones")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once a session; theirs need not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "scanloom_shipped", False):
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="scanloom-")  # the driver's own; executors fetch the file from the driver
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/scanloom", "zip", os.path.dirname(package), os.path.basename(package)))
+        context.scanloom_shipped = True
+    return spark
+
+
 def free(table: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores before it as long as ``table`` has such a column."""
     taken, out = {c.lower() for c in table.columns}, []

@@ -19,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import must_be_free, stored
 
 #: Fixed values of the contract: host, path, verdict.
 LISTED = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -105,6 +105,7 @@ def judge(pages: DataFrame, url: str = "url", rules=LISTED, support: float = SUP
     The listed rules also label the URLs that the association rules are mined from. ``names``
     are the new columns' names and must be free.
     """
+    must_be_free(pages, names)
     address = F.col("url")
     urls = stored(pages.select(F.col(url).alias("url")).where(F.col(url).isNotNull()).groupBy("url").agg(F.count("*").alias("n"))
                   .withColumn("listed", listed_rule(host_of(address), path_of(address), rules)), "urls")

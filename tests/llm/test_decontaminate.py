@@ -83,8 +83,10 @@ def test_blocks_of_the_benchmark_agree(spark):
         texts = {r.doc_id: r.text for r in d.cut(found, spans="d").collect()}
         assert texts[1] is None and texts[8] == cases.LONG and not brute([texts[100]], [(str(i), t) for i, t in items[:20]])[0][1]
         assert texts[100].startswith("before ") and " after, " in texts[100]
-    assert d.hits(table, benchmark.limit(0)).where("n_hit > 0").count() == 0
-    assert d.hits(table.limit(0), benchmark).count() == 0
+    assert d.hits(table, benchmark.limit(0), names=names).where("b > 0").count() == 0
+    assert d.hits(table.limit(0), benchmark, names=names).count() == 0
+    with pytest.raises(ValueError):
+        d.hits(table, benchmark, names=("a", "ID", "c", "d"))
 
 
 def test_query(spark):
