@@ -3,10 +3,10 @@
 There is no parser here.  One regular expression per language walks over the
 text, passes over strings and comments, and stops at every name followed by a
 bracket (a call) or an equals sign (an assignment).  A call's arguments are read
-by a look-ahead, so calls inside arguments are found as well.
+by a look-ahead, so calls inside arguments are found as well; where brackets are too
+deep for it, a fold over the text after the name reads them, however deep they are.
 
-Known limits: brackets more than five deep inside one call leave its arguments
-empty; text of f-strings and template strings is read as code; a method
+Known limits: text of f-strings and template strings is read as code; a method
 definition without a keyword looks like a call.
 """
 from __future__ import annotations
@@ -79,6 +79,30 @@ def by_language(make) -> Column:
     return chosen.otherwise(F.lit(make("javascript")))
 
 
+BRACKET_TOKENS = "|".join([DOUBLE, SINGLE, BACKTICK, r"[()]", r"""[^()"'`]++""", r"""["'`]"""])
+ARGUMENT_TOKENS = "|".join([DOUBLE, SINGLE, BACKTICK, r"[()\[\]{},]", r"""[^()\[\]{},"'`]++""", r"""["'`]"""])
+
+
+def deep_arguments(rest: Column) -> Column:
+    """What stands in the bracket that ``rest`` begins with, read token by token; empty if it never closes."""
+    def step(state, token):
+        depth = state["depth"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)
+        return F.when(state["done"], state).otherwise(F.struct(
+            depth.alias("depth"), (state["size"] + F.length(token)).alias("size"), (depth == 0).alias("done")))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+    read = F.aggregate(F.regexp_extract_all(rest, F.lit(BRACKET_TOKENS), F.lit(0)), zero, step)
+    return let(read, lambda r: F.when(r["done"], rest.substr(F.lit(2), r["size"] - 2)).otherwise(""))
+
+
+def with_deep_arguments(hit: Column, lines: Column) -> Column:
+    """``hit``, a call; arguments that the look-ahead did not reach are read from the lines."""
+    tail = F.get(lines, hit["line"] - 1).substr(hit["column_start"] + F.length(hit["matched"]), F.length(F.get(lines, hit["line"] - 1)))
+    rest = F.ltrim(F.concat_ws("\n", tail, F.array_join(F.slice(lines, hit["line"] + 1, F.size(lines)), "\n")), F.lit(" \t"))
+    deep = (hit["extra"] == "") & tail.rlike(r"^[ \t]*+\((?![ \t]*+\))")
+    return F.when(deep, hit.withField("extra", deep_arguments(rest))).otherwise(hit)
+
+
 def dress(hits: Column, lines: Column, around: Column, width: int | None = None) -> Column:
     """Add the hit's own line, its snippet and whether it begins the line; ``width`` shortens long lines in the snippet only."""
 
@@ -106,14 +130,33 @@ def context_lines() -> Column:
 
 def _facts(texts: DataFrame, make, keep) -> DataFrame:
     hits = F.filter(find_all(F.col("text"), by_language(make), SKIP_TEXT_OUT), keep)
+    if make is call_finder:
+        hits = F.transform(hits, lambda hit: with_deep_arguments(hit, F.split(clean(F.col("text")), "\n")))
     shown = dress(hits, F.split(clean(F.col("text")), "\n"), context_lines())
     return texts.select("path", "language", F.explode(shown).alias("hit"))
 
 
 def arguments(args_text: Column) -> Column:
-    """The arguments of a call, split at its own commas."""
-    parts = F.transform(F.regexp_extract_all(args_text, F.lit(ARGUMENT), F.lit(0)), strip)
-    return F.filter(parts, lambda a: a != "")
+    """The arguments of a call, split at its own commas; by a fold where brackets may be too deep for a pattern."""
+    def many(mark, number):
+        return F.length(args_text) - F.length(F.replace(args_text, F.lit(mark))) > number
+
+    parts = F.when(many("(", 3) | many("[", 2) | many("{", 2), folded_arguments(args_text)).otherwise(
+        F.regexp_extract_all(args_text, F.lit(ARGUMENT), F.lit(0)))
+    return F.filter(F.transform(parts, strip), lambda a: a != "")
+
+
+def folded_arguments(args_text: Column) -> Column:
+    def step(state, token):
+        opens, closes = token.isin("(", "[", "{"), token.isin(")", "]", "}")
+        depth = F.greatest(state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0), F.lit(0))
+        ends = (token == ",") & (depth == 0)
+        return F.struct(depth.alias("depth"), F.when(ends, "").otherwise(F.concat(state["own"], token)).alias("own"),
+                        F.when(ends, F.concat(state["parts"], F.array(state["own"]))).otherwise(state["parts"]).alias("parts"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("own"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(F.regexp_extract_all(args_text, F.lit(ARGUMENT_TOKENS), F.lit(0)), zero, step,
+                       lambda state: F.concat(state["parts"], F.array(state["own"])))
 
 
 def keyword_arguments(args: Column) -> Column:

@@ -20,8 +20,8 @@ from ..functions.regex import FIND, clean, fold, hits_in, let, mark
 from ..functions.severity import SEVERITY_RANK
 from ..functions.text import mask
 from ..rules.catalog import ANY_LANGUAGE, FILE, LINE, RULE_COLUMNS, builtin_rules
-from .detectors import CALL_RULES, DEFER, PARSE, fact_patterns, with_fact_rules
-from .facts import defer_in_loop, dress, parse_in_try
+from .detectors import CALL, CALL_RULES, DEFER, PARSE, fact_patterns, with_fact_rules
+from .facts import defer_in_loop, dress, parse_in_try, with_deep_arguments
 from .fixes import line_fix, template_fix
 
 # Patterns are broadcast up to this many bytes at a time; a larger rule table is
@@ -83,7 +83,9 @@ def text_hits(text: Column, width: int | None = None) -> Column:
                 safe = F.coalesce(F.get(both["in_try"], i), F.lit(False))
                 return first & ~guarded & ~safe & F.forall("must", lambda m: F.regexp_like(own, m))
 
-            return dress(F.filter(hits, keep), both["lines"], F.col("context"), width)
+            kept = F.filter(hits, keep)
+            called = F.when(scope == CALL, F.transform(kept, lambda hit: with_deep_arguments(hit, both["lines"]))).otherwise(kept)
+            return dress(called, both["lines"], F.col("context"), width)
 
         both = F.struct(F.split(text, "\n").alias("lines"), in_try.alias("in_try"))
         return F.when(F.size(hits) > 0, let(both, choose))

@@ -116,3 +116,32 @@ def test_try_blocks_nest(spark):
             " '} try {' JSON.parse(f)")
     row = spark.createDataFrame([(code,)], "t string").select(parse_in_try(F.col("t")).alias("p")).first()
     assert row.p == [False, True, True, True, False]
+
+
+def test_arguments_at_any_depth(texts):
+    from scanloom.operators.facts import calls
+    from scanloom.operators.scan import scan
+
+    nested = lambda n: "f(" * n + 'x, ")"' + ")" * n
+    lines = [f"subprocess.run({nested(n)},\n  [1, (2, [3, [4, [5]]])], shell=True)" for n in range(13)]
+    rows = [(f"t{n}", "python", line) for n, line in enumerate(lines)] + [("open", "python", "subprocess.run(f(f(f(f(f(f(x)")]
+    found = {r.path: r for r in calls(texts(*rows)).where("func_text = 'subprocess.run'").collect()}
+    for n in range(13):
+        got = found[f"t{n}"]
+        assert got.args == ([nested(n)] if n else ["x", '")"']) + ["[1, (2, [3, [4, [5]]])]", "shell=True"]
+        assert [(k.name, k.value) for k in got.kwargs] == [("shell", "True")]
+    assert found["open"].args == []
+    assert {r.path for r in scan(texts(*rows), packs=["python"]).where("rule_id = 'PY008'").collect()} == {f"t{n}" for n in range(13)}
+
+
+def test_a_long_line_is_whole(texts):
+    from scanloom.operators.facts import assignments
+    from scanloom.operators.scan import scan
+
+    long = "let a = 1; " * 700 + "el.innerHTML = b;"
+    rows = [("a", "javascript", long), ("b", "python", " " * 2400 + "x = 1")]
+    fixed = [r.fixed_code for r in scan(texts(*rows)).where("rule_id = 'JS-INNERHTML-XSS'").collect()]
+    assert fixed == [long.replace("innerHTML", "textContent")]
+    assert [r.target for r in assignments(texts(*rows)).where("language = 'python'").collect()] == ["x"]
+    shown = [r.snippet for r in scan(texts(*rows), width=100).where("rule_id = 'JS-INNERHTML-XSS'").collect()]
+    assert len(shown[0]) <= 200 and "innerHTML" in shown[0]
