@@ -55,6 +55,7 @@ def guess_language(code: Column) -> Column:
             found = found | code.contains(word)
         return found
 
+    # The words and their order.
     return (F.when(has("def ", "import "), "python")
             .when(has("function ", "const ", "let "), "javascript")
             .when(has("func "), "go")

@@ -13,8 +13,8 @@ affected_versions string, fixed_versions string, cwe string, references array<st
 
 def cve_frame(spark: SparkSession) -> DataFrame:
     """The shipped vulnerabilities."""
-    rows = [(f"CVE-{n}", package, severity, score, description, affected, fixed, cwe, int(n[:4]))
-            for n, package, severity, score, affected, fixed, cwe, description in CVE_ROWS]
+    rows = [(cve_id, package, severity, score, description, affected, fixed, cwe, int(cve_id.split("-")[1]))
+            for cve_id, package, severity, score, affected, fixed, cwe, description in CVE_ROWS]
     table = spark.createDataFrame(rows, """cve_id string, package string, severity string, cvss string,
         description string, affected_versions string, fixed_versions string, cwe string, year int""")
     link = F.concat(F.lit("https://nvd.nist.gov/vuln/detail/"), "cve_id")

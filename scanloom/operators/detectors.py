@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from .facts import SKIP_TEXT_OUT, assignment_finder, call_columns, call_finder
 
-# What an argument holds when a user may have set it.
+# The words that tell what an argument holds and which methods are meant.
 USER_INPUT = ["request.", "input(", "params", "args", "form", "query", "user_"]
 USER_INPUT_FILE = USER_INPUT + ["sys.argv", "input_"]
 USER_DATA = ["user", "input", "data", "req", "request"]

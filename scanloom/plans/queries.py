@@ -500,24 +500,26 @@ PACKAGES = sorted({row[1] for row in CVE_ROWS}) + ["unknown-package"]
 
 
 def dependencies(spark: SparkSession, folder: str) -> DataFrame:
-    """project, package, version made of each part's key and size."""
+    """project, package, version of one to nine parts, made of each part's key and size."""
     parts = read_table(spark, f"{folder}/part.parquet", "p_partkey", "p_size")
     package = F.element_at(F.array(*[F.lit(p) for p in PACKAGES]),
                            F.pmod("p_partkey", F.lit(len(PACKAGES))).cast("int") + 1)
-    version = F.concat_ws(".", F.col("p_size") % 6, F.col("p_partkey") % 5, F.col("p_partkey") % 16)
+    key = F.col("p_partkey")
+    numbers = F.array(F.col("p_size") % 6, key % 5, key % 16, *[key % 3] * 6).cast("array<string>")
+    version = F.array_join(F.slice(numbers, F.lit(1), (key % 9 + 1).cast("int")), ".")
     return parts.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("project"), package.alias("package"),
                         F.when(F.col("p_partkey") % 50 == 49, F.concat(version, F.lit("rc1"))).otherwise(version)
                         .alias("version"))
 
 
 def _key(version: str) -> str:
-    return f"list_resize(list_transform(string_split({version}, '.'), lambda x: x::BIGINT), 6, 0)"
+    return f"list_resize(list_transform(string_split({version}, '.'), lambda x: x::BIGINT), 12, 0)"
 
 
-CVE_VALUES = ", ".join(f"('CVE-{n}', '{p}', '{s}', {score}, '{a}', {n[:4]}, '{w}', {quote(d)})"
+CVE_VALUES = ", ".join(f"('{n}', '{p}', '{s}', {score}, '{a}', {n[4:8]}, '{w}', {quote(d)})"
                        for n, p, s, score, a, f, w, d in CVE_ROWS)
 DEPS = f"""deps AS (SELECT 'p' || p_partkey AS project, {PACKAGES!r}[p_partkey % {len(PACKAGES)} + 1] AS package,
-  concat_ws('.', p_size % 6, p_partkey % 5, p_partkey % 16) || CASE WHEN p_partkey % 50 = 49 THEN 'rc1' ELSE '' END
+  array_to_string(([p_size % 6, p_partkey % 5, p_partkey % 16] || list_resize([p_partkey % 3], 6, p_partkey % 3))[:p_partkey % 9 + 1], '.') || CASE WHEN p_partkey % 50 = 49 THEN 'rc1' ELSE '' END
   AS version FROM part),
 cve AS (SELECT * FROM (VALUES {CVE_VALUES}) AS c(cve_id, package, severity, cvss, affected, year, cwe, description)),
 ranges AS (SELECT cve_id, package, trim(unnest(string_split(affected, ','))) AS r FROM cve),

@@ -1,6 +1,6 @@
 """Python, Rust and Go rules.
 
-Fixed values: ids, severities, weakness numbers and patterns must equal the
+Fixed values: ids, names, severities, weakness numbers and patterns must equal the
 established ones, so that the same lines are found.
 """
 from __future__ import annotations

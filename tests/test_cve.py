@@ -38,7 +38,7 @@ def made(n=2000):
 
 
 def want(rows):
-    return sorted((p, package, v, f"CVE-{r[0]}") for p, package, v in rows for r in CVE_ROWS
+    return sorted((p, package, v, r[0]) for p, package, v in rows for r in CVE_ROWS
                   if package.lower() == r[1] and affected(v, r[4]))
 
 
