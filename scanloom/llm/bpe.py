@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .words import slices
 
 SHORT = 128
-KEPT = 150_000
+KEPT = 100_000
 #: A vocabulary file is sent to every worker, so its size has a limit.
 FILE_LIMIT = 64 << 20
 #: The split of a normal text into words.
@@ -148,6 +148,12 @@ class Coder:
         for chunk in found:
             out += known[chunk]
 
+    def forget(self) -> None:
+        """Empty the tables: workers are used again for other tasks, which need the memory."""
+        for known in (self.words, self.chunks):
+            known.clear()
+            known.before = {}
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         if "<|" not in text and all(x.startswith("<|") for x in self.special):
@@ -193,6 +199,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             if decoded:
                 columns.append(pa.array(map(tool.decode, ids), pa.string()))
             yield pa.record_batch(columns, schema.names)
+        tool.forget()
 
     return picked.mapInArrow(run, schema).withColumnsRenamed({f"c{i}": name for i, name in enumerate([key, *keep])})
 

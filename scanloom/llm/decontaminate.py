@@ -29,7 +29,7 @@ from .words import ALNUM, hash_words, slices, words
 
 WINDOW = 13
 SAMPLE = 8
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 22
 BLOCK_BYTES = 16 << 20
 #: Symbols of the index before the words: the end of all, and the end of a run.
 END, GAP, FIRST = 0, 1, 2

@@ -31,6 +31,7 @@ FEATURES = ["log_bytes", "log_words", "word_length", "upper", "digits", "stops",
 SHRINKAGE = 0.1
 RIDGE = 1e-4
 THRESHOLD = 0.3
+SLICE_BYTES = 1 << 22
 
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[65:91] = 1
@@ -119,7 +120,7 @@ def scores(model: Model, vectors: np.ndarray) -> np.ndarray:
 def vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``vector`` of every row."""
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             found = statistics(batch.column(1))
             values = pa.array(found.ravel())
             offsets = pa.array(np.arange(0, len(values) + 1, len(FEATURES), dtype=np.int32))
@@ -179,7 +180,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "q
     place = docs.columns.index(text)
 
     def run(batches):
-        for batch in slices(batches, text=text):
+        for batch in slices(batches, SLICE_BYTES, text):
             found = scores(model, statistics(batch.column(place)))
             yield pa.record_batch([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
