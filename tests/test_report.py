@@ -152,3 +152,16 @@ def test_files_as_a_stream(spark, tmp_path):
     assert [(r.path.split("/")[-1], r.rule_id) for r in rows] == [("a.py", "py-eval-usage")]
 
 
+
+
+def test_report_of_a_scan_by_id(spark, texts):
+    from scanloom.operators.report import report_of
+
+    found = scan(texts(("a", "python", "eval(x)\nexec(x)")), packs=["pattern"], scan_id="s3")
+    scans = spark.createDataFrame([(f"s{i}", i) for i in range(12)], "scan_id string, scan_ts int")
+    known = report_of(found, scans, "s3").collect()
+    assert [(r.known, r.total, r.last_scans) for r in known] == [(True, found.count(), None)]
+    empty = report_of(found, scans, "s5").first()
+    assert empty.known and empty.total == 0
+    unknown = report_of(found, scans, "none").first()
+    assert not unknown.known and unknown.last_scans == sorted(f"s{i}" for i in range(2, 12))

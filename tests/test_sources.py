@@ -137,7 +137,9 @@ def test_upsert_enable_and_list(spark):
     assert changed.severity == "high" and changed.cwe == "CWE-200"
     assert enable_rules(merged, ["a"]).where("enabled").count() == 1
     assert enable_rules(merged, ["*"]).where("enabled").count() == 16
-    assert list_rules(merged).columns == ["rule_id", "name", "severity", "language", "enabled", "cwe"]
+    assert list_rules(merged).columns == ["rule_id", "name", "severity", "language", "enabled", "cwe", "category"]
+    found = list_rules(rules_frame(spark), "Secrets").collect()
+    assert len(found) == 27 and {r.category for r in found} == {"secrets"}
 
 
 def test_disabled_rules_do_not_match(spark, texts):
