@@ -50,7 +50,7 @@ def test_near_duplicates(spark, block):
         v = base[rng.integers(8)] + rng.normal(size=6) * rng.choice([0, 0.02, 0.12, 0.5])
         rows.append((int(200 - i), [float(np.float32(x)) for x in v], int(i % 2) if i % 7 else 0))
     inf, nan = float("inf"), float("nan")
-    rows += [(300, None, 0), (301, [], 0), (302, [0.0] * 6, 0), (303, [1.0, None, 0, 0, 0, 0.0], 0), (304, [nan] * 6, 0), (305, [inf] * 6, 0),
+    rows += [(300, None, 0), (301, [], 0), (302, [0.0] * 6, 0), (303, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (304, [nan] * 6, 0), (305, [inf] * 6, 0),
              (306, rows[0][1], None), (306, rows[0][1], None), (307, [1.0, 2.0], 0), (308, [1.0, 2.0], 0), (None, rows[0][1], 0),
              (309, [-0.0, 1.0], 0), (310, [0.0, 1.0], 0), (311, [1e-30, 2e-30], 0), rows[3], (400, rows[3][1], rows[3][2])]
     table = spark.createDataFrame([(*r, 1, "x", 2) for r in rows],
