@@ -217,6 +217,26 @@ def custom_rule_findings(spark, folder):
     return scan(documents(spark, folder), rules=rows, threshold="info").select(*HITS, "severity")
 
 
+TURN_RULES = [
+    {"id": "own-long-word", "name": "A long word", "languages": ["generic"], "severity": "low", "patterns": [r"\b[a-z]{14,}\b"]},
+    {"id": "own-wordy", "name": "A common word", "languages": ["generic"], "severity": "high", "patterns": [r"\b(?:that|with|para|nicht|pour)\b"]},
+]
+
+
+@query(f"""WITH {TURNS}, lines AS (SELECT path, language, unnest(string_split(text, chr(10))) AS t,
+    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM files)
+  SELECT path, line, rule_id, column_start, matched_code,
+    CASE rule_id WHEN 'own-wordy' THEN 'high' ELSE 'low' END AS severity FROM (""" + sql._distinct([
+        "SELECT path, line, rule_id, column_start, matched_code FROM ("
+        + sql.line_rule(rule["id"], rule["patterns"][0], "generic") + ")" for rule in TURN_RULES]) + ")")
+def custom_rule_findings_conversations(spark, folder):
+    """Rules of a user's own over every turn of every conversation."""
+    turns = read_table(spark, f"{folder}/conversations.parquet", "conv_id", "turn", "text")
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows, _ = check_rules(TURN_RULES)
+    return scan(as_texts(turns, "conversations", key, "text"), rules=rows, threshold="info").select(*HITS, "severity")
+
+
 # --- languages, names, texts -------------------------------------------------
 
 ENDINGS = [".py", ".JS", ".tsx", ".go", ".rs", ".min.js", ".lock", ".txt", ".d.ts", "", ".yml", ".hpp"]
