@@ -44,9 +44,9 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Contaminated documents go; from the others every occurrence of a benchmark window is cut."""
     names = free(docs, "n_words", "n_hit", "items", "spans")
-    found = decontaminate.hits(docs, table(spark, folder, "benchmark"), names=names)
+    found = decontaminate.hits(docs, table(spark, folder, "benchmark"), names=names, cut=True)
     clean = found.where(~decontaminate.contaminated(F.col(names[1]), F.col(names[0])))
-    return _recounted(decontaminate.cut(clean, spans=names[3]).drop(*names))
+    return _recounted(clean.drop(*names))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

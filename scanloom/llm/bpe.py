@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .words import slices
 
 SHORT = 128
-KEPT = 100_000
+KEPT = 50_000
 #: A vocabulary file is sent to every worker, so its size has a limit.
 FILE_LIMIT = 64 << 20
 #: The split of a normal text into words.

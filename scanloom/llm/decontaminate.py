@@ -208,7 +208,20 @@ def _merged(hit: np.ndarray) -> list[list[int]]:
     return change.reshape(-1, 2).tolist()
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, limit: int):
+def _without(texts: pa.Array, found, spans: list) -> pa.Array:
+    """The texts without their spans of words."""
+    out = texts.to_pylist()
+    for row in (r for r, x in enumerate(spans) if x):
+        parts, at = [], found.offsets[row]
+        for a, b in spans[row]:
+            first = found.rows[row]
+            parts.append(found.data[at: found.start[first + a]].tobytes())
+            at = found.end[first + b - 1]
+        out[row] = (b"".join(parts) + found.data[at: found.offsets[row + 1]].tobytes()).decode()
+    return pa.array(out, texts.type)
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[list[tuple]]:
     """The benchmark in parts that are small enough to be sent."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).dropna()
     blocks = 1
@@ -219,15 +232,15 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int):
         if most <= limit:
             break
         blocks *= 2
-    for number in range(blocks):
-        yield [tuple(row) for row in rows.where(block == number).collect()]
+    return [[tuple(row) for row in rows.where(block == number).collect()] for number in range(blocks)]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
-         width: int = WINDOW, limit: int = BLOCK_BYTES, names=("n_words", "n_hit", "items", "spans")) -> DataFrame:
+         width: int = WINDOW, limit: int = BLOCK_BYTES, names=("n_words", "n_hit", "items", "spans"), cut: bool = False) -> DataFrame:
     """``docs`` with the number of words, of hit words, the items with occurring windows, and the merged spans.
 
-    A span is [first, end) in words. ``names`` are the new columns' names and must be free.
+    A span is [first, end) in words. ``names`` are the new columns' names and must be free. With ``cut``
+    the spans are taken out of the texts, with what stands between their words.
     """
     must_be_free(docs, names)
     place, old = docs.columns.index(text), len(docs.columns)
@@ -235,10 +248,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
              StructField(names[2], ArrayType(StringType())), StructField(names[3], ArrayType(ArrayType(LongType())))]
     schema = StructType([*docs.schema.fields, *added])
     out = docs
-    for items in _blocks(benchmark, item, item_text, limit):
+    blocks = _blocks(benchmark, item, item_text, limit)
+    for number, items in enumerate(blocks):
         sent = docs.sparkSession.sparkContext.broadcast(windows_of(items, width))
+        last = cut and number == len(blocks) - 1
 
-        def run(batches, sent=sent):
+        def run(batches, sent=sent, last=last):
             windows = sent.value
             for batch in slices(batches, SHARD_BYTES, text):
                 found = words(batch.column(place), ALNUM)
@@ -251,7 +266,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                 sums = np.concatenate([[0], np.cumsum(hit)])
                 count = sums[found.rows[1:]] - sums[found.rows[:-1]]
                 spans = [_merged(hit[a:b]) if n else [] for a, b, n in zip(found.rows[:-1], found.rows[1:], count)]
-                yield pa.record_batch([*batch.columns[:old], pa.array(np.diff(found.rows)), pa.array(count),
+                columns = batch.columns[:old]
+                if last and count.any():
+                    columns[place] = _without(columns[place], found, spans)
+                yield pa.record_batch([*columns, pa.array(np.diff(found.rows)), pa.array(count),
                                        pa.array([sorted(x) for x in rows], pa.list_(pa.string())),
                                        pa.array(spans, pa.list_(pa.list_(pa.int64())))], schema.names)
 
@@ -261,27 +279,3 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
 def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
-
-
-def cut(hit: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """The texts without their spans; what stands between words inside a span goes, too."""
-    place, at = hit.columns.index(text), hit.columns.index(spans)
-
-    def run(batches):
-        for batch in slices(batches, SHARD_BYTES, text):
-            touched = [r for r, x in enumerate(batch.column(at).to_pylist()) if x]
-            if not touched:
-                yield batch
-                continue
-            texts, columns = batch.column(place).to_pylist(), list(batch.columns)
-            for r in touched:
-                found = words(pa.array([texts[r]]), ALNUM)
-                raw, parts, last = texts[r].encode(), [], 0
-                for a, b in batch.column(at)[r].as_py():
-                    parts.append(raw[last: found.start[a]])
-                    last = found.end[b - 1]
-                texts[r] = (b"".join(parts) + raw[last:]).decode()
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
-            yield pa.record_batch(columns, batch.schema.names)
-
-    return hit.mapInArrow(run, hit.schema)

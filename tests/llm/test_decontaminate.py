@@ -80,7 +80,7 @@ def test_blocks_of_the_benchmark_agree(spark):
         key = lambda x: (x[0] is None, x[0] or 0, x[1:])
         assert sorted(((r.doc_id, r.a, r.b, r.c) for r in got), key=key) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=key)
         assert found.columns[:len(table.columns)] == table.columns
-        texts = {r.doc_id: r.text for r in d.cut(found, spans="d").collect()}
+        texts = {r.doc_id: r.text for r in d.hits(table, benchmark, limit=limit, names=names, cut=True).collect()}
         assert texts[1] is None and texts[8] == cases.LONG and not brute([texts[100]], [(str(i), t) for i, t in items[:20]])[0][1]
         assert texts[100].startswith("before ") and " after, " in texts[100]
     assert d.hits(table, benchmark.limit(0), names=names).where("b > 0").count() == 0
