@@ -27,8 +27,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) ->
     ship(spark)
     found = stored(jaccard_join.groups(docs), "groups").where("id is not null")
     counted = found.groupBy("id", "component").agg(F.count("*").alias("rows"))
-    gone = counted.where((F.col("id") != F.col("component")) | (F.col("rows") > 1)).select(F.col("id").alias("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(counted.where((F.col("id") != F.col("component")) | (F.col("rows") > 1)).select(F.col("id").alias("doc_id")), "gone")
+    few = gone.limit(jaccard_join.IDS_PER_BROADCAST + 1).count() <= jaccard_join.IDS_PER_BROADCAST
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
     repeated = stored(counted.where((F.col("id") == F.col("component")) & (F.col("rows") > 1)).select(F.col("id").alias("doc_id")), "repeated")
     if not repeated.isEmpty():
         again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
