@@ -55,6 +55,25 @@ def test_message_passing_on_a_tree_is_exact():
     assert np.allclose(pii.beliefs(field, found, known, 60), total / total.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def test_far_mentions_take_the_kind_of_the_first():
+    field = pii.Field(np.zeros((pii.WIDTH + 1, 5)), np.zeros((5, 5)), 14 * np.eye(5))
+    text = "call +1 (501) 555-1001 now " + "or 555-1001 as said " * 400
+    base, every = pii.all_spans(text, field)
+    assert len(base) == 1 and [k for _, k, _ in every[1:]] == [3] * 400
+    found = pii.tokens(text)
+    got = pii.beliefs(field, found, pii.silver(found, base))
+    pair = np.exp(field.skip) / np.exp(field.skip).sum(axis=1)
+    want = np.linalg.matrix_power(pair, 400)[4]
+    assert np.allclose(got[-1], want, atol=1e-4)
+
+
+def test_fields_without_a_fixed_point_come_to_an_end():
+    field = pii.Field(np.random.default_rng(2).normal(size=(pii.WIDTH + 1, 5)), -9 * np.eye(5), 9 * np.roll(np.eye(5), 1, 0))
+    found = pii.tokens("12 555-1001 a@b.cd 12 7 555-1001 12 a@b.cd 555-1001 " * 20)
+    p = pii.beliefs(field, found, [0] * len(found.start))
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1)
+
+
 def test_repeats_take_the_kind_of_their_like(spark):
     texts = [f"word call +1 ({500 + i}) 555-10{i:02} today" for i in range(30)] + [f"in {i} days 4{i} of them" for i in range(30)]
     table = cases.docs(spark, list(enumerate(texts)))
