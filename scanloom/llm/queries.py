@@ -52,7 +52,7 @@ def op5_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
 
     def named(back: int):
-        return F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
 
     asks = F.coalesce(F.col("role").isin("user", "system"), F.lit(False))
     arguments = (F.when(F.col("role") == "user", F.to_json(F.struct(F.col("turn"), F.col("text").alias("question"))))

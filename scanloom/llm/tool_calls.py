@@ -10,9 +10,10 @@ JSON: keys in order, no blanks.
 Defined results, as ``status``: ``ok``; ``orphan_result`` (no such call); ``invalid_json``;
 ``unknown_tool``; ``invalid_arguments`` with the errors listed; ``unknown_need`` (the needed call is
 missing); ``cyclic`` (level null); ``no_result``; the first that applies, in the order orphan,
-JSON, tool, arguments, need, cycle, result. Repeated calls or results of one identifier count
-once, the least (name, arguments, need) or content stays and ``copies`` says how many there
-were. Rows without an identifier are left out of linking and come back as
+JSON, tool, arguments, need, cycle, result. Equal calls or results of one identifier count
+once, and ``copies`` says how many rows an identifier has. Of its different ones the least (name, arguments, need)
+and the least content are linked, and others need that call; each further result is a row of its own with the
+least call, each further call one with the least result. Rows without an identifier are left out of linking and come back as
 ``no_identifier``. Null arguments are invalid JSON. Extra columns stay out of the way.
 """
 from __future__ import annotations
@@ -61,19 +62,9 @@ def argument_errors(arguments: Column, fields: Column) -> Column:
     return F.array_sort(F.concat(missing, wrong, extra))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(id, level, status, errors, copies, json) for every call and orphan result.
-
-    ``calls``: id, name, arguments (JSON text), need (id of another call, or null);
-    ``results``: id, content; ``schemas``: name, field, type, required.
-    """
-    told = calls.select(F.col("id").cast("string").alias("id"), "name", "arguments", F.col("need").cast("string").alias("need"))
-    given = results.select(F.col("id").cast("string").alias("id"), "content")
-    each = stored(told.where("id is not null").groupBy("id").agg(F.min(F.struct("name", "arguments", "need")).alias("call"), F.count("*").alias("calls"))
-                  .select("id", "call.name", "call.arguments", "call.need", "calls"), "calls")
-    answers = given.where("id is not null").groupBy("id").agg(F.min("content").alias("content"), F.count("*").alias("results"))
+def _judged(both: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(id, level, status, errors, copies, json) of calls with their result and level."""
     fields = schemas.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("field", "type", "required"))).alias("fields"))
-    both = each.join(answers, "id", "full").join(levels(each), "id", "left")
     both = both.join(fields.withColumnRenamed("name", "_name"), F.col("name") == F.col("_name"), "left").drop("_name")
     parsed = F.try_parse_json("arguments")
     both = (both.withColumn("parsed", parsed)
@@ -85,8 +76,38 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
               .when(F.col("results").isNull(), "no_result").otherwise("ok"))
     whole = F.to_json(F.struct(F.when(F.col("object").isNotNull(), F.col("parsed")).alias("arguments"), "id", "level", "name", F.col("content").alias("result")),
                       {"ignoreNullFields": "false"})
-    linked = both.select("id", "level", status.alias("status"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
-                         (F.coalesce("calls", F.lit(0)) + F.coalesce("results", F.lit(0))).alias("copies"), whole.alias("json"))
+    return both.select("id", "level", status.alias("status"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
+                       (F.coalesce("calls", F.lit(0)) + F.coalesce("results", F.lit(0))).alias("copies"), whole.alias("json"))
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(id, level, status, errors, copies, json) for every call and orphan result.
+
+    ``calls``: id, name, arguments (JSON text), need (id of another call, or null);
+    ``results``: id, content; ``schemas``: name, field, type, required.
+    """
+    told = calls.select(F.col("id").cast("string").alias("id"), "name", "arguments", F.col("need").cast("string").alias("need"))
+    given = results.select(F.col("id").cast("string").alias("id"), "content")
+    call = F.struct("name", "arguments", "need")
+    told_once = stored(told.where("id is not null").groupBy("id", "name", "arguments", "need").agg(F.count("*").alias("calls")), "told")
+    given_once = stored(given.where("id is not null").groupBy("id", "content").agg(F.count("*").alias("results")), "given")
+    each = stored(told_once.groupBy("id").agg(F.min(call).alias("call"), F.sum("calls").alias("calls"))
+                  .select("id", "call.name", "call.arguments", "call.need", "calls"), "calls")
+    answers = given_once.groupBy("id").agg(F.min("content").alias("content"), F.sum("results").alias("results"))
+    found = stored(levels(each), "found")
+    least = each.select(F.col("id").alias("_id"), call.alias("_call"), F.col("calls").alias("_calls"))
+    further = told_once.drop("calls").join(least, F.col("id") == F.col("_id")).where(~call.eqNullSafe(F.col("_call")))
+    below = found.select(F.col("id").alias("_need"), F.col("level").alias("_level"), F.col("root_need").alias("_root"))
+    further = further.join(below, F.col("need") == F.col("_need"), "left").select(
+        "id", "name", "arguments", "need", F.col("_calls").alias("calls"),
+        F.when(F.col("need").isNull() | F.col("_need").isNull(), 0).otherwise(F.col("_level") + 1).cast("long").alias("level"),
+        F.when(F.col("_need").isNull(), F.col("need")).otherwise(F.col("_root")).alias("root_need")).join(answers, "id", "left")
+    linked_answers = answers.select(F.col("id").alias("_id"), F.col("content").alias("_content"), F.col("results").alias("_results"))
+    others = given_once.drop("results").join(linked_answers, F.col("id") == F.col("_id")).where(~F.col("content").eqNullSafe(F.col("_content")))
+    others = others.select("id", "content", F.col("_results").alias("results")).join(each, "id", "left").join(found, "id", "left")
+    rest = further.unionByName(others.select(further.columns))
+    both = each.join(answers, "id", "full").join(found, "id", "left").select(further.columns)
+    linked = _judged(rest, schemas).unionByName(_judged(both, schemas))
     nameless = told.where("id is null").select("id", "name", F.lit(None).cast("string").alias("content")).unionByName(
         given.where("id is null").select("id", F.lit(None).cast("string").alias("name"), "content"))
     nothing = F.struct(F.lit(None).cast("string").alias("arguments"), "id", F.lit(None).cast("long").alias("level"), "name", F.col("content").alias("result"))

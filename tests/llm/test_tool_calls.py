@@ -38,6 +38,28 @@ def test_link(spark):
         assert got[key].json == json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def test_different_calls_and_results_of_one_identifier_all_stay(spark):
+    other = '{"query": "other"}'
+    calls = [("a", "find", GOOD, None), ("b", "find", GOOD, "a"), ("b", "find", other, "a"), ("b", "find", other, "a"), ("b", "find", other, "none")]
+    results = [("a", "x"), ("a", "y"), ("a", "y"), ("a", None), ("b", "z"), ("lost", "1"), ("lost", "2")]
+    rows = t.link(*frames(spark, calls, results)).collect()
+    got = sorted((r.id, r.status, r.level is None, r.level or 0, r.copies, (json.loads(r.json)["arguments"] or {}).get("query"),
+                  str(json.loads(r.json)["result"])) for r in rows)
+    good = json.loads(GOOD)["query"]
+    assert got == sorted([("a", "ok", False, 0, 5, good, "x"), ("a", "ok", False, 0, 5, good, "y"), ("a", "ok", False, 0, 5, good, "None"),
+                          ("b", "ok", False, 1, 5, good, "z"), ("b", "ok", False, 1, 5, "other", "z"), ("b", "unknown_need", False, 0, 5, "other", "z"),
+                          ("lost", "orphan_result", True, 0, 2, None, "1"), ("lost", "orphan_result", True, 0, 2, None, "2")])
+
+
+def test_turns_without_identifier_stay_apart(spark, tmp_path):
+    from scanloom.llm.queries import op5_tool_calls
+
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "r"), (None, 0, "user", "s"), (None, 0, "user", "t"), (None, 1, "assistant", "u"), (2, None, "user", "v")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r.id or "", r.status) for r in op5_tool_calls(spark, str(tmp_path)).collect())
+    assert got == [("", "no_identifier")] * 4 + [("1:0", "ok")]
+
+
 def test_levels_of_a_long_chain(spark):
     calls = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(130)]
     got = t.levels(spark.createDataFrame(calls[::-1], "id string, need string")).collect()
