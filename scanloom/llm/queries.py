@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, jaccard_join, lm, pii, quality, sharding, tool_calls, url_filter
+from . import bpe, conversation_trie, decontaminate, embedding_dedup, jaccard_join, lm, pii, quality, sharding, tool_calls, url_filter
 from .shared import ship, stored
 
 
@@ -146,6 +146,45 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op6_lm": op6_lm, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality}
-
-SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op9_sharding": OP9_SQL}
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, folder, "conversations"))
+
+
+#: CRC-32 is not built in: ``step`` is its table, from its polynomial.
+OP12_SQL = r"""
+WITH step AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, b)) AS t),
+turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS d, key, words
+  FROM (SELECT conv_id, turn, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS key,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT c, c - c % 20 AS leader,
+         xor(list_reduce(list_transform(range(length(CAST(c AS VARCHAR))), lambda i: CAST(ascii(CAST(c AS VARCHAR)[i + 1]) AS BIGINT)),
+                         lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)]), 4294967295), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM turns), step),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, d) AS d, key, words
+  FROM (SELECT v.c, 0 AS own, t.d, t.key, t.words FROM convs v JOIN turns t ON t.c = v.leader AND t.d <= v.h
+        UNION ALL SELECT v.c, 1, t.d, t.key, t.words FROM convs v JOIN turns t ON t.c = v.c AND t.d > v.h)),
+prefixes AS (
+  SELECT c, d, words, list(key) OVER (PARTITION BY c ORDER BY d) AS path FROM rebuilt
+  UNION ALL SELECT c, 0, 0, CAST([] AS VARCHAR[]) FROM convs),
+nodes AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved FROM prefixes GROUP BY path, d),
+children AS (SELECT path[:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+known AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k USING (path)),
+subtrees AS (
+  SELECT path[:up] AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS up FROM known) GROUP BY 1),
+lengths AS (SELECT v.c, coalesce(max(r.d), 0) AS d FROM convs v LEFT JOIN rebuilt r USING (c) GROUP BY v.c),
+finished AS (
+  SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS digest FROM prefixes JOIN lengths USING (c, d) GROUP BY path)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(f.digest, sha256('')) AS ends_sha256
+FROM known k JOIN subtrees s USING (path) LEFT JOIN finished f USING (path) LEFT JOIN nodes p ON k.d > 0 AND p.path = k.path[:k.d - 1]"""
+
+
+QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op6_lm": op6_lm, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op12_conversation_trie": op12_conversation_trie}
+
+SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op9_sharding": OP9_SQL, "op12_conversation_trie": OP12_SQL}
