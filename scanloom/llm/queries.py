@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_trie, decontaminate, embedding_dedup, jaccard_join, lm, pii, quality, sharding, tool_calls, url_filter
+from . import bpe, collocations, conversation_trie, decontaminate, embedding_dedup, jaccard_join, lm, pii, quality, sharding, suffix_dedup, tool_calls, url_filter
 from .shared import ship, stored
 
 
@@ -146,6 +146,39 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+counts AS (
+  SELECT lang, p, count(*) AS f
+  FROM (SELECT lang, w[i:i] AS p FROM placed UNION ALL SELECT lang, w[i:i + 1] FROM placed WHERE i < len(w)
+        UNION ALL SELECT lang, w[i:i + 2] FROM placed WHERE i + 1 < len(w))
+  GROUP BY lang, p),
+candidates AS (SELECT * FROM counts WHERE len(p) > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.p, c.f, x.f AS l, y.f AS r, k, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidates) c
+  JOIN counts x ON x.lang = c.lang AND x.p = c.p[:k] JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, p, max(f) AS most
+  FROM (SELECT lang, p[:2] AS p, f FROM candidates WHERE len(p) = 3 UNION ALL SELECT lang, p[2:], f FROM candidates WHERE len(p) = 3) GROUP BY lang, p),
+ranked AS (
+  SELECT b.*, array_to_string(b.p, ' ') AS phrase,
+         row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.f DESC, array_to_string(b.p, ' ')) AS rank
+  FROM best b LEFT JOIN inside i USING (lang, p) WHERE i.most IS NULL OR 100 * i.most < 50 * b.f)
+SELECT lang, rank, phrase, f AS a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.trie(table(spark, folder, "conversations"))
 
@@ -185,6 +218,10 @@ SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, k.n
 FROM known k JOIN subtrees s USING (path) LEFT JOIN finished f USING (path) LEFT JOIN nodes p ON k.d > 0 AND p.path = k.path[:k.d - 1]"""
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op6_lm": op6_lm, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op12_conversation_trie": op12_conversation_trie}
+def op13_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, folder, "documents"), rest=False).drop("kept")
+
+
+QUERIES = {"op10_jaccard_join": op10_jaccard_join, "op2_embedding_dedup": op2_embedding_dedup, "op5_tool_calls": op5_tool_calls, "op6_lm": op6_lm, "op7_pii": op7_pii, "op9_sharding": op9_sharding, "op1_url_filter": op1_url_filter, "op8_decontaminate": op8_decontaminate, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op12_conversation_trie": op12_conversation_trie, "op11_collocations": op11_collocations, "op13_suffix_dedup": op13_suffix_dedup}
 
-SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op9_sharding": OP9_SQL, "op12_conversation_trie": OP12_SQL}
+SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op9_sharding": OP9_SQL, "op12_conversation_trie": OP12_SQL, "op11_collocations": OP11_SQL}
