@@ -163,11 +163,13 @@ counts AS (
   FROM (SELECT lang, w[i:i] AS p FROM placed UNION ALL SELECT lang, w[i:i + 1] FROM placed WHERE i < len(w)
         UNION ALL SELECT lang, w[i:i + 2] FROM placed WHERE i + 1 < len(w))
   GROUP BY lang, p),
-candidates AS (SELECT * FROM counts WHERE len(p) > 1 AND f >= 10),
+frequent AS MATERIALIZED (SELECT *, lang || chr(31) || array_to_string(p, ' ') AS key FROM counts WHERE f >= 10),
+candidates AS (SELECT lang, p, f FROM frequent WHERE len(p) > 1),
 cuts AS (
   SELECT c.lang, c.p, c.f, x.f AS l, y.f AS r, k, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
-  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidates) c
-  JOIN counts x ON x.lang = c.lang AND x.p = c.p[:k] JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+  FROM (SELECT *, lang || chr(31) || array_to_string(p[:k], ' ') AS head, lang || chr(31) || array_to_string(p[k + 1:], ' ') AS tail
+        FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidates)) c
+  JOIN frequent x ON x.key = c.head JOIN frequent y ON y.key = c.tail),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
 inside AS (
   SELECT lang, p, max(f) AS most
