@@ -42,9 +42,9 @@ BLOCK = 1 << 17
 #: Windows of one context at most (a run of one byte, say, would be a context of any length).
 CONTEXT = 1 << 12
 #: Bytes of a bucket, of a shard in it, and of one anchor's contexts before it is dealt anew.
-BUCKET_BYTES = 2 << 20
-SHARD_BYTES = 1 << 18
-ANCHOR_BYTES = 1 << 18
+BUCKET_BYTES = 1 << 20
+SHARD_BYTES = 1 << 17
+ANCHOR_BYTES = 1 << 17
 #: The address of a byte: the number of its part of the stored texts, and its place in it.
 PLACE_BITS = 38
 
@@ -100,8 +100,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
             to = min(windows, at + BLOCK)
             part = data[a + at: a + to + length - 1]
             sums = [sums_of(part, 0), sums_of(part, 1)]
-            every = np.arange(len(part) - gram + 1)
-            grams = hashed(sums[0], 0, every, every + gram)
+            grams = mix((sums[0][gram:] - sums[0][:-gram]) * _powers(0, len(part) + 1)[1][: len(part) - gram + 1])
             least = _least(grams, width)
             new = np.ones(len(least), bool)
             new[1:] = least[1:] != least[:-1]
@@ -125,10 +124,10 @@ def transform(symbols: np.ndarray, after: np.ndarray) -> np.ndarray:
 
     Compared lengths double; every string's last symbol occurs once, so the order is total.
     """
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    rank, most = symbols.astype(np.int64), int(symbols.max(initial=0)) + 1
     while True:
-        key = rank * len(rank) + rank[after]
-        order = np.argsort(key, kind="stable")
+        key = rank * most + rank[after]
+        order = np.argsort(key)
         new = np.ones(len(key), np.int64)
         new[0] = 0
         new[1:] = key[order][1:] != key[order][:-1]
@@ -136,7 +135,7 @@ def transform(symbols: np.ndarray, after: np.ndarray) -> np.ndarray:
         rank[order] = np.cumsum(new)
         if not len(order) or rank[order[-1]] == len(rank) - 1:
             return order
-        after = after[after]
+        after, most = after[after], len(rank)
 
 
 def _by_symbol(symbols: np.ndarray) -> np.ndarray:
@@ -399,16 +398,21 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     texts = _addressed(docs.select(F.col(id).alias(id), F.coalesce(F.col(text), F.lit("")).alias("text")), text, 1)
     found = stored(_occurrences(texts, length, gram), "occurrences")
     again = found.groupBy("anchor").agg((F.count("*") + F.sum("again")).alias("n")).where("n > 1").select("anchor")
-    shared = stored(found.drop("again").join(again, "anchor", "left_semi"), "shared")
+    shared = stored(found.join(again, "anchor", "left_semi"), "shared")
     dropped(found)
-    kinds = stored(shared.groupBy("anchor", "second").agg(F.count("*").alias("copies"), F.min("address").alias("address"), F.first("windows").alias("windows")), "kinds")
+    kinds = stored(shared.groupBy("anchor", "second").agg(F.count("*").alias("copies"), F.min("address").alias("address"), F.first("windows").alias("windows"),
+                                                          F.max("again").alias("again")), "kinds")
+    # an anchor's only context repeats itself outright, if it has copies; transforms are for contexts with others to be compared with
+    unlike = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("inside")).where("n > 1 OR inside > 0").select("anchor")
+    alone = kinds.where("copies > 1").select("anchor", "second", F.lit(0).alias("first"), F.col("windows").alias("end"))
     beside = shared_folder(docs.sparkSession, "beside")
-    _beside(kinds, ["anchor", "second", "copies", "windows"], beside)
-    hits = _hits(_cut(texts, beside, length), length, gram, step, anchor_bytes, bucket_bytes, shard_bytes)
+    _beside(kinds.join(unlike, "anchor", "left_semi"), ["anchor", "second", "copies", "windows"], beside)
+    merged_hits = _hits(_cut(texts, beside, length), length, gram, step, anchor_bytes, bucket_bytes, shard_bytes)
+    hits = merged_hits.join(alone.select("anchor", "second"), ["anchor", "second"], "left_anti").unionByName(alone)
     runs = shared.join(hits, ["anchor", "second"]).select((F.col("address") + F.col("first")).alias("address"), (F.col("end") - F.col("first")).alias("windows"))
     gone = shared_folder(docs.sparkSession, "gone")
     _beside(runs, ["windows"], gone)
-    for table in (shared, kinds, hits):
+    for table in (shared, kinds, merged_hits):
         dropped(table)
     schema = StructType([texts.schema[0], StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()),
                          StructField("kept_sha256", StringType()), StructField("kept", BinaryType())])
