@@ -23,6 +23,7 @@ from ..rules.catalog import ANY_LANGUAGE, FILE, LINE, RULE_COLUMNS, builtin_rule
 from .detectors import CALL, CALL_RULES, DEFER, PARSE, fact_patterns, with_fact_rules
 from .facts import defer_in_loop, dress, parse_in_try, with_deep_arguments
 from .fixes import line_fix, template_fix
+from .rule_index import indexed_hits
 
 # Patterns are broadcast up to this many bytes at a time; a larger rule table is
 # worked through in parts, each of which reads the texts again.
@@ -157,7 +158,16 @@ def with_rules(hits: DataFrame, rules: list[dict], keep=()) -> DataFrame:
     """Add the rule's fields; a rule id can stand in several packs and languages."""
     rows = [(r["pack"], r["rule_id"], r["language"], *[r[f] for f in RULE_FIELDS]) for r in rules]
     known = hits.sparkSession.createDataFrame(rows, KNOWN_SCHEMA)
-    known = F.broadcast(known) if len(repr(rows)) * 2 <= PATTERN_BYTES else known
+    return with_known(hits, F.broadcast(known) if len(repr(rows)) * 2 <= PATTERN_BYTES else known, keep)
+
+
+def known_fields(rules: DataFrame) -> DataFrame:
+    """A rule table's fields for :func:`with_known`."""
+    return rules.select(F.col("pack").alias("known_pack"), F.col("rule_id").alias("known_id"), F.col("language").alias("known_language"), *RULE_FIELDS)
+
+
+def with_known(hits: DataFrame, known: DataFrame, keep=()) -> DataFrame:
+    """Add the fields of a table of rules."""
     same = ((F.col("pack") == F.col("known_pack")) & (F.col("rule_id") == F.col("known_id"))
             & F.col("known_language").isin(F.lit(ANY_LANGUAGE), F.col("language")))
     joined = hits.join(known, same)
@@ -175,13 +185,25 @@ def hide_secrets(findings: DataFrame) -> DataFrame:
             .drop("mask"))
 
 
-def active_rules(rules, threshold: str, packs=None) -> list[dict]:
-    """The active ones of a rule table, of rows of one, or of the shipped rules."""
+def active_rules(rules, threshold: str, packs=None, own: bool = True) -> list[dict]:
+    """The active ones of a rule table, of rows of one, or of the shipped rules.
+
+    Without ``own``, a table's rules of a user's own are left out: they may be any number and stay a table (see ``rule_index``).
+    """
     if isinstance(rules, DataFrame):
+        rules = rules if own else rules.where(~F.coalesce("is_custom", F.lit(False)))
         rules = rules.select(*RULE_COLUMNS).collect()
     return active(builtin_rules() if rules is None else rules, threshold, packs)
 
 
+def own_rules(rules, packs=None) -> DataFrame | None:
+    """The user's own rules of a rule table; none if it has none."""
+    if not isinstance(rules, DataFrame):
+        return None
+    own = rules.where("is_custom") if packs is None else rules.where(F.col("is_custom") & F.col("pack").isin(*packs))
+    return None if own.isEmpty() else own
+
+
 def scan(texts: DataFrame, rules=None, packs=None, threshold: str = "medium", facts: bool = True, masked: bool = True,
          scan_id: str | None = None, width: int | None = None) -> DataFrame:
     """Findings of ``rules`` (all shipped ones by default) in ``texts``.
@@ -191,8 +213,14 @@ def scan(texts: DataFrame, rules=None, packs=None, threshold: str = "medium", fa
     shortens longer lines in snippets, which minified files need: there, each of
     thousands of findings would show the whole file.  Matches and fixes are whole anyway.
     """
-    chosen = active_rules(rules, threshold, packs)
-    if chosen:
+    chosen, own = active_rules(rules, threshold, packs, own=False), own_rules(rules, packs)
+    if own is not None:
+        hits, known = indexed_hits(texts, own, threshold, width), known_fields(own)
+        if chosen:
+            hits = hits.unionByName(hits_of(texts, chosen, facts, width=width))
+            known = known.unionByName(known_fields(rules.where(~F.coalesce("is_custom", F.lit(False)))))
+        findings = with_known(dedupe(keyed_hits(hits)), known)
+    elif chosen:
         findings = with_rules(dedupe(keyed_hits(hits_of(texts, chosen, facts, width=width))), chosen)
     else:
         findings = no_findings(texts.sparkSession)

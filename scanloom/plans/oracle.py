@@ -35,6 +35,11 @@ FROM (SELECT path, line, t, string_split(regexp_replace(t, '(' || {rx} || ')', c
       AS parts FROM lines WHERE {where}regexp_matches(t, {rx}){extra}), unnest(range(2, len(parts) + 1)) AS u(i)"""
 
 
+def word_rule(rule_id: str, regex: str) -> str:
+    """The same for whole words. RE2's word bounds know ASCII only, so words are runs of letters of any script first."""
+    return f"""SELECT * FROM ({line_rule(rule_id, r"[\p{L}\p{N}_]+", None)}) WHERE regexp_full_match(matched_code, {quote(regex)})"""
+
+
 def text_rule(rule_id: str, regex: str, language: str | None, flags: str = "i", table: str = "files") -> str:
     """The same over whole texts."""
     rx = quote(_flagged(regex, flags))

@@ -16,6 +16,7 @@ from ..functions.regex import count_matches, to_java, to_replacement
 from ..functions.severity import int_to_severity, severity_rank, severity_to_int
 from ..operators import cve, patch, report
 from ..operators.facts import assignments, calls
+from ..operators.rule_index import check_rule_table
 from ..operators.scan import scan
 from ..rules.catalog import FACT, RULE_SCHEMA, builtin_rules, check_rules, list_rules, rules_frame, upsert_rules
 from ..sources.cve_seed import CVE_ROWS
@@ -227,8 +228,8 @@ TURN_RULES = [
     unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM files)
   SELECT path, line, rule_id, column_start, matched_code,
     CASE rule_id WHEN 'own-wordy' THEN 'high' ELSE 'low' END AS severity FROM (""" + sql._distinct([
-        "SELECT path, line, rule_id, column_start, matched_code FROM ("
-        + sql.line_rule(rule["id"], rule["patterns"][0], "generic") + ")" for rule in TURN_RULES]) + ")")
+        "SELECT path, line, rule_id, column_start, matched_code FROM (" + sql.word_rule(rule["id"], whole) + ")"
+        for rule, whole in zip(TURN_RULES, ["[a-z]{14,}", "that|with|para|nicht|pour"])]) + ")")
 def custom_rule_findings_conversations(spark, folder):
     """Rules of a user's own over every turn of every conversation."""
     turns = read_table(spark, f"{folder}/conversations.parquet", "conv_id", "turn", "text")
@@ -237,6 +238,52 @@ def custom_rule_findings_conversations(spark, folder):
     return scan(as_texts(turns, "conversations", key, "text"), rules=rows, threshold="info").select(*HITS, "severity")
 
 
+PART_RULES = """rules AS (SELECT p_partkey AS k, 'part-' || p_partkey || '-' || kind AS rule_id,
+    CASE WHEN p_size < 20 THEN 'low' ELSE 'high' END AS severity, kind
+  FROM part, (VALUES ('use'), ('take'), ('ship')) AS v(kind))"""
+
+
+def part_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Three rules for every part, as a user writes them: a regular expression, code with a wildcard, an alternative."""
+    parts = read_table(spark, f"{folder}/part.parquet", "p_partkey", "p_size")
+    key = F.col("p_partkey").cast("string")
+    kinds = [("use", F.concat(F.lit(r"\bitem_"), key, F.lit(r"\b")), "regex"), ("take", F.concat(F.lit("take(part"), key, F.lit(", $X)")), "literal"),
+             ("ship", F.concat(F.lit("(?:ship|send)_"), key, F.lit("x[0-9]+")), "regex")]
+    rules = F.array(*[F.struct(F.concat(F.lit("part-"), key, F.lit(f"-{kind}")).alias("id"), source.alias("patterns"), F.lit(how).alias("pattern_kind"))
+                      for kind, source, how in kinds])
+    severity = F.when(F.col("p_size") < 20, "low").otherwise("high")
+    return parts.select(F.explode(rules).alias("r"), severity.alias("severity")).select(
+        "r.id", F.col("r.id").alias("name"), F.lit("generic").alias("language"), "severity", F.array("r.patterns").alias("patterns"), "r.pattern_kind")
+
+
+def shipping_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """A text for every line of an order that names its part in one of several ways, some of them near misses."""
+    lines = read_table(spark, f"{folder}/lineitem.parquet", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    key = F.col("l_partkey").cast("string")
+    forms = [F.concat(F.lit("use item_"), key, F.lit(" now")), F.concat(F.lit("x = take(part"), key, F.lit(", 5)\ntake(part"), key, F.lit(", many)")),
+             F.concat(F.lit("send_"), key, F.lit("x44;ship_"), key, F.lit("x7")), F.concat(F.lit("item_"), key, F.lit("z or myitem_"), key),
+             F.concat(F.lit("take(part"), key, F.lit(", f(2))"))]
+    which = F.pmod(F.col("l_orderkey") * 3 + F.col("l_linenumber"), F.lit(len(forms))).cast("int") + 1
+    text = F.concat(F.lit("by "), F.col("l_suppkey").cast("string"), F.lit("\n"), F.element_at(F.array(*forms), which))
+    key = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return as_texts(lines, "lines", key, text)
+
+
+@query(f"""WITH {PART_RULES}, notes AS (
+    SELECT 'lines/' || l_orderkey || ':' || l_linenumber AS path, l_partkey AS k, (l_orderkey * 3 + l_linenumber) % 5 AS form FROM lineitem),
+  hits AS (
+    SELECT path, k, 'use' AS kind, 2 AS line, 5 AS column_start, 'item_' || k AS matched_code FROM notes WHERE form = 0
+    UNION ALL SELECT path, k, 'take', 2, 5, 'take(part' || k || ', 5)' FROM notes WHERE form = 1
+    UNION ALL SELECT path, k, 'take', 3, 1, 'take(part' || k || ', many)' FROM notes WHERE form = 1
+    UNION ALL SELECT path, k, 'ship', 2, 1, 'send_' || k || 'x44' FROM notes WHERE form = 2
+    UNION ALL SELECT path, k, 'ship', 2, 11 + len(k::VARCHAR), 'ship_' || k || 'x7' FROM notes WHERE form = 2)
+  SELECT path, line, rule_id, column_start::INTEGER AS column_start, matched_code, severity FROM hits JOIN rules USING (k, kind)""")
+def part_rule_findings(spark, folder):
+    """Thousands of rules of a user's own over a text for every line of an order, by the index of required words."""
+    checked = check_rule_table(part_rules(spark, folder))
+    return scan(shipping_notes(spark, folder), rules=checked.where("problem IS NULL").drop("problem"), threshold="info").select(*HITS, "severity")
+
+
 # --- languages, names, texts -------------------------------------------------
 
 ENDINGS = [".py", ".JS", ".tsx", ".go", ".rs", ".min.js", ".lock", ".txt", ".d.ts", "", ".yml", ".hpp"]

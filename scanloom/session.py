@@ -1,9 +1,25 @@
 """Session settings for tests and benches; a cluster brings its own session."""
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def send_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: functions that run in tasks are found there by name."""
+    context = spark.sparkContext
+    if not getattr(context, "scanloom_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="scanloom-")  # the driver's own; executors fetch the file from the driver
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/scanloom", "zip", os.path.dirname(package), os.path.basename(package)))
+        context.scanloom_shipped = True
+
+
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("scanloom")
