@@ -35,15 +35,15 @@ LONGEST = 3
 LEAST = 10
 #: Text read at a time, united before it is cut, and of one range; and how many ranges one step deals out.
 SLICE_BYTES = 1 << 21
-SHARD_BYTES = 24 << 20
-RANGE_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+RANGE_BYTES = 6 << 20
 FAN = 512
 SAMPLE_BYTES = 8 << 20
 #: A code has this many bits, so that three make one key; code 0 is END.
 BITS = 21
 MASK = np.uint64((1 << BITS) - 1)
 #: N-grams numbered at a time: their words have fewer codes than there are.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 WORDS = _class([0x20, 0x09, *range(0x0A, 0x0E), *b".,;:!?"])
 WORDS[0] = 0xFF
@@ -70,12 +70,12 @@ def packed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def unpacked(keys: np.ndarray) -> list[np.ndarray]:
-    return [(keys >> np.uint64(2 * BITS)).astype(np.int64), (keys >> np.uint64(BITS) & MASK).astype(np.int64), (keys & MASK).astype(np.int64)]
+    return [(keys >> np.uint64(2 * BITS)).astype(np.int32), (keys >> np.uint64(BITS) & MASK).astype(np.int32), (keys & MASK).astype(np.int32)]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
-    keys, at = keys[order], None
+    keys = keys[order]
     at = starts(keys)
     return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts
 
@@ -103,7 +103,7 @@ class Transducer(NamedTuple):
             first.insert(0, np.concatenate([[0], np.cumsum(length[kind])]))
             if own:
                 symbols.insert(0, own[-1][begins])
-                targets.insert(0, state)
+                targets.insert(0, state.astype(np.int32))
                 a, b = a[begins], b[begins]
         return cls(names, symbols, targets, first)
 
@@ -132,7 +132,8 @@ class Transducer(NamedTuple):
         a, b, state = np.repeat(a, count), self.symbols[1][at], self.targets[1][at]
         count = np.diff(self.first[2])[state]
         at = spread(self.first[2][state], count)
-        return packed(np.repeat(a, count), np.repeat(b, count), self.symbols[2][at]), self.targets[2][at]
+        head = packed(a, b, np.zeros(1, np.uint64))
+        return np.repeat(head, count) | self.symbols[2][at].astype(np.uint64), self.targets[2][at]
 
     def weights(self, *path: np.ndarray) -> np.ndarray:
         """Composition with phrases given by their three symbols each: their weights, or -1."""
@@ -171,7 +172,7 @@ class Transducer(NamedTuple):
         count = int(np.frombuffer(raw, np.int64, 1, at)[0])
         offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, count, at + 8), dtype=np.int64)])
         names = pa.Array.from_buffers(pa.large_binary(), count, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[at + 8 + 4 * count:])])
-        return cls(names, arrays[:3], arrays[3:6], [np.concatenate([[0], np.cumsum(x)]) for x in arrays[6:]])
+        return cls(names, [x.astype(np.int32) for x in arrays[:3]], arrays[3:6], [np.concatenate([[0], np.cumsum(x)]) for x in arrays[6:]])
 
 
 def united(parts: list[Transducer]) -> Transducer:
@@ -292,7 +293,7 @@ def _counted(docs: DataFrame, bounds: list[tuple], step: int, limit: int) -> Dat
             for number, lang in enumerate(langs.dictionary.to_pylist()):
                 held.setdefault(lang, []).extend(ngrams(batch.column(1).take(pa.array(np.flatnonzero(codes == number)))))
             size += batch.column(1).nbytes
-            if size >= limit or max(sum(len(p.names) for p in parts) for parts in held.values()) > 3 * CHUNK // 2:
+            if size >= limit or max(sum(len(p.names) for p in parts) for parts in held.values()) > int(MASK) // 2:
                 yield from emit()
                 held, size = {}, 0
         yield from emit()
