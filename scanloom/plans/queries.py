@@ -276,8 +276,8 @@ def shipping_notes(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT path, k, 'take', 2, 5, 'take(part' || k || ', 5)' FROM notes WHERE form = 1
     UNION ALL SELECT path, k, 'take', 3, 1, 'take(part' || k || ', many)' FROM notes WHERE form = 1
     UNION ALL SELECT path, k, 'ship', 2, 1, 'send_' || k || 'x44' FROM notes WHERE form = 2
-    UNION ALL SELECT path, k, 'ship', 2, 11 + len(k::VARCHAR), 'ship_' || k || 'x7' FROM notes WHERE form = 2)
-  SELECT path, line, rule_id, column_start::INTEGER AS column_start, matched_code, severity FROM hits JOIN rules USING (k, kind)""")
+    UNION ALL SELECT path, k, 'ship', 2, 10 + len(k::VARCHAR), 'ship_' || k || 'x7' FROM notes WHERE form = 2)
+  SELECT DISTINCT path, line, rule_id, column_start::INTEGER AS column_start, matched_code, severity FROM hits JOIN rules USING (k, kind)""")
 def part_rule_findings(spark, folder):
     """Thousands of rules of a user's own over a text for every line of an order, by the index of required words."""
     checked = check_rule_table(part_rules(spark, folder))

@@ -55,8 +55,8 @@ def compare(spark, con, name, query, sql, folder):
     if problem is None and other:
         problem = f"types {other}"
     if problem is None and got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lacking = [r for r in want if r not in set(got)][:3]
+        extra = sorted(set(got) - set(want), key=repr)[:3]
+        lacking = sorted(set(want) - set(got), key=repr)[:3]
         problem = f"rows {len(got)} / {len(want)}; only Spark {extra}; only SQL {lacking}"
     return got, want, spark_time, time.time() - start, problem
 
