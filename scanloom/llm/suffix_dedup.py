@@ -332,6 +332,17 @@ def _dealt_anew(cuts: DataFrame, length: int, gram: int) -> DataFrame:
     return cuts.mapInArrow(run, "anchor long, second long, first int, anchor_ long, second_ long, copies long, windows int, content binary")
 
 
+def _joined(hits: DataFrame) -> DataFrame:
+    """Runs of one context that touch as one run; a context has ``CONTEXT`` windows at most."""
+    def add(held, run):
+        last = F.get(held, F.size(held) - 1)
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["end"], run["end"]).alias("end"))
+        return F.when(run["first"] <= last["end"], F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(longer))).otherwise(F.concat(held, F.array(run)))
+
+    runs = F.aggregate(F.sort_array(F.collect_list(F.struct("first", "end"))), F.array().cast("array<struct<first:int,end:int>>"), add)
+    return hits.groupBy("anchor", "second").agg(runs.alias("runs")).select("anchor", "second", F.explode("runs").alias("run")).select("anchor", "second", "run.*")
+
+
 def _hits(cuts: DataFrame, length: int, gram: int, step: int, anchor_bytes: int, bucket_bytes: int, shard_bytes: int) -> DataFrame:
     """The repeated windows of contexts, each of which is one row, as runs."""
     cuts = stored(cuts, "contexts")
@@ -349,7 +360,8 @@ def _hits(cuts: DataFrame, length: int, gram: int, step: int, anchor_bytes: int,
         inner = _hits(again, length, longer, step, anchor_bytes, bucket_bytes, shard_bytes).select(
             F.col("anchor").alias("anchor_"), F.col("second").alias("second_"), F.col("first").alias("low"), F.col("end").alias("high"))
         back = pieces.select("anchor", "second", "first", "anchor_", "second_").join(inner, ["anchor_", "second_"])
-        found = found.unionByName(back.select("anchor", "second", (F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.col("high")).alias("end")))
+        back = back.select("anchor", "second", (F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.col("high")).alias("end"))
+        found = found.unionByName(_joined(back))
     found = stored(found, "hits")
     dropped(cuts)
     return found
@@ -404,11 +416,11 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", len
                                                           F.max("again").alias("again")), "kinds")
     # an anchor's only context repeats itself outright, if it has copies; transforms are for contexts with others to be compared with
     unlike = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("inside")).where("n > 1 OR inside > 0").select("anchor")
-    alone = kinds.where("copies > 1").select("anchor", "second", F.lit(0).alias("first"), F.col("windows").alias("end"))
+    alone = kinds.join(unlike, "anchor", "left_anti").where("copies > 1").select("anchor", "second", F.lit(0).alias("first"), F.col("windows").alias("end"))
     beside = shared_folder(docs.sparkSession, "beside")
     _beside(kinds.join(unlike, "anchor", "left_semi"), ["anchor", "second", "copies", "windows"], beside)
     merged_hits = _hits(_cut(texts, beside, length), length, gram, step, anchor_bytes, bucket_bytes, shard_bytes)
-    hits = merged_hits.join(alone.select("anchor", "second"), ["anchor", "second"], "left_anti").unionByName(alone)
+    hits = merged_hits.unionByName(alone)
     runs = shared.join(hits, ["anchor", "second"]).select((F.col("address") + F.col("first")).alias("address"), (F.col("end") - F.col("first")).alias("windows"))
     gone = shared_folder(docs.sparkSession, "gone")
     _beside(runs, ["windows"], gone)
