@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.regex import clean, let
 from ..sources.fix_templates import rule_templates, templates_frame
-from .validate import CHECKS, VALIDATION, all_valid, failures, validate
+from .validate import CHECKS, VALIDATION, all_valid, counts_of, failures, open_at_end, quotes, reaches, validate_section
 
 CONTEXT = 3
 
@@ -95,26 +95,89 @@ def section_of(lines: Column, line: Column, around: int = CONTEXT) -> tuple[Colu
             F.slice(lines, last + 1, F.size(lines) - last))
 
 
-def rebuild(before: Column, patched: Column, after: Column) -> Column:
-    """All lines with the patched section in its own place."""
-    return F.concat(before, F.split(patched, "\n"), after)
+# --- one patch on a file -------------------------------------------------------
 
+#: Lines that are ready go to the finished ones when there are so many.
+BLOCK = 256
+PLACE = ["rule_id", "template_id", "line", "regex", "replacement", "manual_review"]
 
-def _attempt(lines: Column, line: Column, language: Column, apply, checks) -> Column:
-    """One patch on ``lines``: its section before and after, the lines it gives, the checks."""
-    section, head, tail = section_of(lines, line)
 
-    def patched(s):
-        new = rebuild(s["head"], s["patched"], s["tail"])
+def file_facts(text: Column, language: Column) -> Column:
+    """What the patches of a file need of the whole of it, worked out once: lines, counts, and what reaches over line ends."""
+    return F.struct(F.split(text, "\n").alias("lines"), counts_of(text, language).alias("counts"), reaches(text, language).alias("reaching"))
 
-        def judged(new):
-            verdict = validate(F.array_join(lines, "\n"), F.array_join(new, "\n"), language, checks)
-            return F.struct(s["section"].alias("original_code"), s["patched"].alias("patched_code"),
-                            new.alias("lines"), verdict.alias("validations"))
-        return let(new, judged)
 
-    return let(F.struct(section.alias("section"), apply(section).alias("patched"), head.alias("head"),
-                        tail.alias("tail")), patched)
+def _covering(ranges: Column, line: Column, field: str, default: Column) -> Column:
+    """``field`` of the range that goes over the end of ``line``, if there is one."""
+    over = F.get(F.filter(ranges, lambda r: (r["first"] <= line) & (line < r["last"])), F.lit(0))
+    return F.coalesce(over[field], default)
+
+
+def _attempt(lines: Column, start: Column, counts: Column, facts: Column, loose, place: Column, around: Column | int, language: Column, fix, checks,
+             earlier=None, later=None, fold: bool = False) -> Column:
+    """One patch on ``lines``, which begin with line ``start`` of the file.
+
+    ``loose`` says that line ends below may not part what the checks count any more, then all lines there are looked at. ``earlier``
+    and ``later`` give the file's lines around ``lines``. The result has the section before and after, the checks, and for a ``fold`` ``lines``,
+    ``counts`` and ``loose`` as the patch leaves them.
+    """
+    line = place["line"]
+    first = F.coalesce(F.greatest(line - start + 1 - around, F.lit(1)), F.lit(1))
+    last = F.coalesce(F.least(line - start + 1 + around, F.size(lines)), F.size(lines))
+    earlier = earlier or (lambda: F.array().cast("array<string>"))
+    later = later or (lambda: F.array().cast("array<string>"))
+
+    def cut(at):
+        first, last = at["first"], at["last"]
+        low = _covering(facts["reaching"], first + start - 2, "first", first + start - 1) - start + 1
+        low = F.greatest(low, F.lit(1))
+        high = F.when(F.lit(loose) if isinstance(loose, bool) else loose, F.size(lines)).otherwise(
+            F.least(_covering(facts["reaching"], last + start - 1, "last", last + start - 1) - start + 1, F.size(lines)))
+        section = F.slice(lines, first, last - first + 1)
+        return let(F.struct(first.alias("first"), last.alias("last"), section.alias("before"), F.array_join(section, "\n").alias("code"),
+                            F.slice(lines, low, first - low).alias("above"), F.slice(lines, last + 1, high - last).alias("below"), high.alias("high")), mend)
+
+    def mend(s):
+        def patched(code):
+            return let(F.struct(code.alias("code"), F.split(code, "\n").alias("after")), lambda p: judged(s, p))
+        return let(fix(place, s["code"]), patched)
+
+    def judged(s, p):
+        def text(middle, below):
+            return F.array_join(F.concat(s["above"], middle, below), "\n")
+
+        rest = F.slice(lines, s["last"] + 1, F.size(lines) - s["last"])
+        new = F.concat(F.slice(lines, F.lit(1), s["first"] - 1), p["after"], rest)
+        near = F.struct(text(s["before"], s["below"]).alias("before"), text(p["after"], s["below"]).alias("after"))
+
+        def widen(r):
+            spills = (s["code"] != p["code"]) & (open_at_end(r["after"], language) | (quotes(s["code"]) != quotes(p["code"])))
+            return let(spills, lambda spills: chosen(r, spills))
+
+        def chosen(r, spills):
+            wide = F.struct(text(s["before"], F.concat(rest, later())).alias("before"), text(p["after"], F.concat(rest, later())).alias("after"))
+            return let(F.struct(F.when(spills, wide).otherwise(r).alias("region"), spills.alias("spills")), verdict)
+
+        def verdict(w):
+            region = w["region"]
+            change = F.zip_with(counts_of(region["after"], language), counts_of(region["before"], language), lambda a, b: a - b)
+            now = F.when(s["code"] == p["code"], counts).otherwise(F.zip_with(counts, change, lambda c, d: c + d))
+
+            def checked(now):
+                def whole(after):
+                    return F.concat(earlier(), new if after else lines, later())
+
+                verdicts = validate_section(region["before"], region["after"], s["before"], p["after"], s["first"] + start - 1, now, language, whole, checks)
+                other = (F.size(s["before"]) != F.size(p["after"])) | w["spills"] | (
+                    (s["code"] != p["code"]) & (reaches(s["code"], language) != reaches(p["code"], language)))
+                state = [new.alias("lines"), now.alias("counts"), other.alias("loose")] if fold else []
+                return F.struct(s["code"].alias("original_code"), p["code"].alias("patched_code"), verdicts.alias("validations"), *state)
+
+            return let(now, checked)
+
+        return let(near, widen)
+
+    return let(F.struct(first.alias("first"), last.alias("last")), cut)
 
 
 def patch_columns(rows: DataFrame, dry_run: bool) -> DataFrame:
@@ -139,84 +202,126 @@ def join_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "path")
 
 
+def _regex_fix(place: Column, section: Column) -> Column:
+    return F.regexp_replace(section, place["regex"], place["replacement"])
+
+
+def _plans(todo: DataFrame, columns: list[str]) -> DataFrame:
+    """(path, plan): the places of each file; the list is no longer than the file's findings, and the file is one row anyway."""
+    return todo.groupBy("path").agg(F.collect_list(F.struct(*columns)).alias("plan"))
+
+
+def _attempts(texts: DataFrame, plans: DataFrame, fix, checks, around: int) -> DataFrame:
+    """Every place's patch on the file as it is: the file is read and counted once, however many places it has."""
+    rows = join_texts(texts.select("path", "language", "text"), plans)
+    text, language = clean(F.col("text")), F.col("language")
+
+    def all_of(facts):
+        return F.transform("plan", lambda place: F.struct(place.alias("place"), _attempt(
+            facts["lines"], F.lit(1), facts["counts"], facts, False, place, around, language, fix, checks).alias("attempt")))
+
+    done = rows.select("path", "language", F.explode(let(file_facts(text, language), all_of)).alias("done"))
+    return done.select("path", "language", "done.attempt", *[F.col(f"done.place.{c}").alias(c) for c in ("rule_id", "template_id", "line", "manual_review")])
+
+
 def patch_each(texts: DataFrame, findings: DataFrame, custom_fix=None, dry_run: bool = True,
-               checks=CHECKS) -> DataFrame:
+               checks=CHECKS, context_lines: int = CONTEXT) -> DataFrame:
     """Every finding's patch by itself, on the text as it is; a failure where there is no template.
 
     ``custom_fix`` takes the section column and gives the fixed one, for example by
-    a pandas UDF; it stands in for the templates.
+    a pandas UDF; it stands in for the templates. A section is the finding's line with ``context_lines`` on either side.
     """
     if custom_fix is None:
-        todo = with_templates(findings)
-    else:
-        todo = findings.select("*", F.lit("custom").alias("template_id"), F.lit(False).alias("manual_review"))
-    keep = ["path", "rule_id", "line", "template_id", "manual_review"]
-    keep += [] if custom_fix else ["regex", "replacement"]
-    rows = join_texts(texts.select("path", "language", "text"), todo.select(*keep))
-    rows = rows.withColumn("lines", F.split(clean(F.col("text")), "\n"))
-    if custom_fix:
-        # A Python function cannot stand inside the expression below, so its result is a column first.
-        rows = rows.withColumn("section", section_of(F.col("lines"), F.col("line"))[0])
-        rows = rows.withColumn("fixed", custom_fix(F.col("section")))
-
-        def apply(section):
-            return F.col("fixed")
-    else:
-        def apply(section):
-            return F.regexp_replace(section, F.col("regex"), F.col("replacement"))
-    attempt = _attempt(F.col("lines"), F.col("line"), F.col("language"), apply, checks)
-    done = patch_columns(rows.withColumn("attempt", attempt), dry_run)
-    return done if custom_fix else done.unionByName(failed_results(findings, dry_run))
-
-
-def preview(texts: DataFrame, findings: DataFrame) -> DataFrame:
+        todo = with_templates(findings).select("path", *PLACE)
+        done = patch_columns(_attempts(texts, _plans(todo, PLACE), _regex_fix, checks, context_lines), dry_run)
+        return done.unionByName(failed_results(findings, dry_run))
+    # A Python function cannot stand inside an expression over a file's places, so sections are rows first.
+    todo = findings.select("path", "rule_id", F.lit("custom").alias("template_id"), "line", F.lit(False).alias("manual_review"))
+    places = ["rule_id", "template_id", "line", "manual_review"]
+    rows = join_texts(texts.select("path", "text"), _plans(todo, places))
+    sections = let(F.split(clean(F.col("text")), "\n"), lambda lines: F.transform("plan", lambda place: F.struct(
+        place.alias("place"), section_of(lines, place["line"], context_lines)[0].alias("section"))))
+    fixed = (rows.select("path", F.explode(sections).alias("s")).select("path", "s.place.*", "s.section")
+             .withColumn("fixed", custom_fix(F.col("section"))).drop("section"))
+    return patch_columns(_attempts(texts, _plans(fixed, [*places, "fixed"]), lambda place, _: place["fixed"], checks, context_lines), dry_run)
+
+
+def preview(texts: DataFrame, findings: DataFrame, context_lines: int = CONTEXT) -> DataFrame:
     """What each patch would change, unchecked."""
-    todo = with_templates(findings).select("path", "rule_id", "line", "template_id", "regex", "replacement")
-    rows = join_texts(texts.select("path", "text"), todo)
-    section = section_of(F.split(clean(F.col("text")), "\n"), F.col("line"))[0]
-    rows = rows.withColumn("section", section)
+    places = ["rule_id", "template_id", "line", "regex", "replacement"]
+    rows = join_texts(texts.select("path", "text"), _plans(with_templates(findings).select("path", *places), places))
+    sections = let(F.split(clean(F.col("text")), "\n"), lambda lines: F.transform("plan", lambda place: F.struct(
+        place.alias("place"), section_of(lines, place["line"], context_lines)[0].alias("section"))))
+    rows = rows.select("path", F.explode(sections).alias("s")).select("path", "s.place.*", "s.section")
     patched = F.regexp_replace(F.col("section"), F.col("regex"), F.col("replacement"))
     return rows.select("path", "rule_id", "template_id", "line", changed_lines(F.col("section"), patched).alias("diff"))
 
 
-def patch_files(texts: DataFrame, findings: DataFrame, checks=CHECKS) -> DataFrame:
+ATTEMPTS = ("array<struct<rule_id:string,template_id:string,line:int,original_code:string,patched_code:string,success:boolean,"
+            "manual_review:boolean,error_message:string>>")
+
+
+def patch_files(texts: DataFrame, findings: DataFrame, checks=CHECKS, context_lines: int = CONTEXT) -> DataFrame:
     """Each file with all its patches, from the last line up, each on what the one before left.
 
     A patch that fails a check is left out and the next goes on without it.  One row
-    per file: the text, the patched text and the attempts.  A file's list of places
-    is no longer than the file itself, which is one row anyway.
+    per file: the text, the patched text and the attempts.
+
+    The fold holds the lines near the place it has come to. Lines that no later section can hold are put by in blocks, so a
+    place costs its section, not its file: the work is linear in the file and its places. Only behind a patch that changes the number of lines,
+    or begins something that goes on over a line's end, are lines kept until the end of the file.
     """
-    todo = with_templates(findings).select("path", "rule_id", "line", "template_id", "regex", "replacement",
-                                           "manual_review")
+    todo = with_templates(findings).select("path", *PLACE)
     # One attempt per template and line, however many rules found it.
-    plan = (todo.groupBy("path", "line", "template_id", "regex", "replacement", "manual_review")
-            .agg(F.min("rule_id").alias("rule_id"))
-            .groupBy("path").agg(F.collect_list(F.struct(
-                (-F.col("line")).alias("order"), "template_id", "rule_id", "line", "regex", "replacement",
-                "manual_review")).alias("plan")))
-    rows = join_texts(texts.select("path", "language", "text"), plan)
-    empty = F.array().cast("array<struct<rule_id:string,template_id:string,line:int,original_code:string,"
-                           "patched_code:string,success:boolean,manual_review:boolean,error_message:string>>")
-
-    def step(state, todo):
-        attempt = _attempt(state["lines"], todo["line"], F.col("language"),
-                           lambda s: F.regexp_replace(s, todo["regex"], todo["replacement"]), checks)
-
-        def take(a):
+    once = (todo.groupBy("path", "line", "template_id", "regex", "replacement", "manual_review").agg(F.min("rule_id").alias("rule_id"))
+            .withColumn("order", -F.col("line")))
+    rows = join_texts(texts.select("path", "language", "text"), _plans(once, ["order", "template_id", "rule_id", "line", "regex", "replacement", "manual_review"]))
+    text, language = clean(F.col("text")), F.col("language")
+
+    def folded(facts):
+        lines = facts["lines"]
+        zero = F.struct((F.size(lines) + 1).alias("start"), F.array().cast("array<string>").alias("lines"), F.array().cast("array<array<string>>").alias("ready"),
+                        facts["counts"].alias("counts"), F.lit(False).alias("loose"), F.array().cast(ATTEMPTS).alias("some"),
+                        F.array().cast(f"array<{ATTEMPTS}>").alias("patches"))
+
+        def step(state, place):
+            first = F.coalesce(F.greatest(place["line"] - context_lines, F.lit(1)), F.lit(1))
+            begin = F.least(state["start"], F.greatest(_covering(facts["reaching"], first - 1, "first", first), F.lit(1)))
+            near = F.struct(begin.alias("start"), F.concat(F.slice(lines, begin, state["start"] - begin), state["lines"]).alias("lines"))
+            return let(near, lambda near: let(_attempt(
+                near["lines"], near["start"], state["counts"], facts, state["loose"], place, context_lines, language, _regex_fix, checks,
+                earlier=lambda: F.slice(lines, F.lit(1), near["start"] - 1), later=lambda: F.flatten(F.reverse(state["ready"])), fold=True), lambda a: take(state, near, place, a)))
+
+        def take(state, near, place, a):
             good = all_valid(a["validations"])
-            done = F.struct(todo["rule_id"], todo["template_id"], todo["line"], a["original_code"],
-                            a["patched_code"], good.alias("success"), todo["manual_review"],
-                            F.when(~good, failures(a["validations"])).alias("error_message"))
-            return F.struct(F.when(good, a["lines"]).otherwise(state["lines"]).alias("lines"),
-                            F.concat(state["patches"], F.array(done)).alias("patches"))
-
-        return let(attempt, take)
-
-    zero = F.struct(F.split(clean(F.col("text")), "\n").alias("lines"), empty.alias("patches"))
-    folded = F.aggregate(F.array_sort("plan"), zero, step)
-    return rows.select("path", "language", "text", folded.alias("r")).select(
-        "path", "language", "text", F.array_join("r.lines", "\n").alias("patched_text"),
-        F.col("r.patches").alias("patches"))
+            done = F.struct(place["rule_id"], place["template_id"], place["line"], a["original_code"], a["patched_code"], good.alias("success"),
+                            place["manual_review"], F.when(~good, failures(a["validations"])).alias("error_message"))
+            loose = state["loose"] | (good & a["loose"])
+            some = F.concat(state["some"], F.array(done).cast(ATTEMPTS))
+            full = F.size(some) >= BLOCK
+            kept = F.when(good, a["lines"]).otherwise(near["lines"])
+            # the line behind which nothing is needed any more: no later section goes beyond this one's end
+            end = _covering(facts["reaching"], place["line"] + context_lines, "last", place["line"] + context_lines) - near["start"] + 1
+
+            def settled(k):
+                put_by = ~loose & (F.size(k["lines"]) > k["end"] + BLOCK)
+                return F.struct(near["start"].alias("start"), F.when(put_by, F.slice(k["lines"], F.lit(1), k["end"])).otherwise(k["lines"]).alias("lines"),
+                                F.when(put_by, F.concat(state["ready"], F.array(F.slice(k["lines"], k["end"] + 1, F.size(k["lines"]) - k["end"]))))
+                                .otherwise(state["ready"]).alias("ready"),
+                                F.when(good, a["counts"]).otherwise(state["counts"]).alias("counts"), loose.alias("loose"),
+                                F.when(full, F.array().cast(ATTEMPTS)).otherwise(some).alias("some"),
+                                F.when(full, F.concat(state["patches"], F.array(some))).otherwise(state["patches"]).alias("patches"))
+
+            return let(F.struct(kept.alias("lines"), F.coalesce(end, F.size(kept)).alias("end")), settled)
+
+        def finish(state):
+            whole = F.concat(F.slice(lines, F.lit(1), state["start"] - 1), state["lines"], F.flatten(F.reverse(state["ready"])))
+            return F.struct(F.array_join(whole, "\n").alias("text"), F.flatten(F.concat(state["patches"], F.array(state["some"]))).alias("patches"))
+
+        return F.aggregate(F.array_sort("plan"), zero, step, finish)
+
+    return rows.select("path", "language", "text", let(file_facts(text, language), folded).alias("r")).select(
+        "path", "language", "text", F.col("r.text").alias("patched_text"), F.col("r.patches").alias("patches"))
 
 
 def patch_summary(patches: DataFrame, kind: str = "rule_id") -> DataFrame:

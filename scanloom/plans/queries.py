@@ -692,20 +692,26 @@ def _paired(text: str, pairs: str) -> str:
     return " AND ".join(f"{_counted(text, a)} = {_counted(text, b)}" for a, b in pairs.split())
 
 
-def _not_added(language: str) -> str:
+def _dangers(language: str, text: str) -> str:
     from ..operators.validate import DANGEROUS
-    return " AND ".join(f"len(regexp_extract_all(after, {quote('(?i)' + rx)})) <= "
-                        f"len(regexp_extract_all(text, {quote('(?i)' + rx)}))" for rx, _ in DANGEROUS[language])
+    return "[" + ", ".join(f"len(regexp_extract_all({text}, {quote('(?i)' + rx)}))" for rx, _ in DANGEROUS[language]) + "]"
+
+
+def _dangers_of(text: str) -> str:
+    return f"CASE language WHEN 'python' THEN {_dangers('python', text)} WHEN 'javascript' THEN {_dangers('javascript', text)} WHEN 'go' THEN {_dangers('go', text)} END"
 
 
 CODE_ONLY = "regexp_replace(after, '\"[^\"\\n]*\"|''[^''\\n]*''|#[^\\n]*', '', 'g')"
 
 
-JUDGED = f"""SELECT path, rule_id, template_id, line, CASE language
-  WHEN 'python' THEN {_paired(CODE_ONLY, "{{}} () []".replace("{{}}", "{}"))} AND {_not_added('python')}
-  WHEN 'javascript' THEN {_paired('after', "{} () []")} AND {_not_added('javascript')}
-  ELSE {_paired('after', "{}")} AND {_not_added('go')} END AS success FROM (
-  SELECT *, array_to_string(head || string_split(patched_code, chr(10)) || tail, chr(10)) AS after FROM patched)
+# A file is counted once; a patch is counted by its file's text with the section in its place, once for equal ones.
+JUDGED = f"""SELECT path, rule_id, template_id, line, paired AND len(list_filter(list_zip(now, was), lambda x: x[1] > x[2])) = 0 AS success FROM patched
+  JOIN (SELECT path, {_dangers_of('text')} AS was FROM files WHERE path IN (SELECT path FROM patched)) USING (path)
+  JOIN (SELECT path, first, patched_code, {_dangers_of('after')} AS now, CASE language
+      WHEN 'python' THEN {_paired(CODE_ONLY, "{{}} () []".replace("{{}}", "{}"))}
+      WHEN 'javascript' THEN {_paired('after', "{} () []")} ELSE {_paired('after', "{}")} END AS paired
+    FROM (SELECT DISTINCT path, language, first, patched_code,
+            array_to_string(head || string_split(patched_code, chr(10)) || tail, chr(10)) AS after FROM patched)) USING (path, first, patched_code)
 UNION ALL SELECT f.path, f.rule_id, NULL, f.line, false FROM findings f JOIN files USING (path)
 WHERE NOT EXISTS (SELECT 1 FROM {_fix_values()} WHERE fix.rule_id = f.rule_id AND fix_language = language)"""
 
@@ -735,6 +741,39 @@ def patched_files(spark, folder):
                        F.size(F.filter("patches", lambda p: p["success"])).alias("applied"))
 
 
+def _line_verdict() -> str:
+    """Whether a line may be put for another: brackets change alike, nothing dangerous is added."""
+    def bare(column):
+        return CODE_ONLY.replace("(after,", f"({column},")
+
+    def alike(old, new, pairs):
+        return " AND ".join(f"{_counted(new, a)} - {_counted(old, a)} = {_counted(new, b)} - {_counted(old, b)}" for a, b in pairs.split())
+
+    cases = {"python": alike(bare("old"), bare("new"), "{} () []"), "javascript": alike("old", "new", "{} () []"), "go": alike("old", "new", "{}")}
+    return "CASE language " + " ".join(
+        f"WHEN '{name}' THEN {brackets} AND len(list_filter(list_zip({_dangers(name, 'new')}, {_dangers(name, 'old')}), lambda x: x[1] > x[2])) = 0"
+        for name, brackets in cases.items()) + " END"
+
+
+APART = f"""places AS (SELECT path, line, min((rule_id, template_id)) AS chosen FROM patched GROUP BY path, line),
+whole AS (SELECT path, language, text, CASE language WHEN 'python' THEN {_paired(CODE_ONLY.replace('(after,', '(text,'), "{} () []")}
+    WHEN 'javascript' THEN {_paired('text', "{} () []")} ELSE {_paired('text', "{}")} END AS paired FROM files),
+tried AS (SELECT path, line, language, t AS old, {_replaced().replace('original_code', 't')} AS new
+  FROM (SELECT l.path, l.line, l.language, l.t, chosen[2] AS template_id FROM lines l JOIN places p ON l.path = p.path AND l.line = p.line)),
+judged AS (SELECT tried.*, paired AND {_line_verdict().replace('CASE language', 'CASE tried.language')} AS good FROM tried JOIN whole USING (path))
+SELECT path, string_agg(CASE WHEN good THEN new ELSE t END, chr(10) ORDER BY line) AS patched_text,
+  count(good)::INTEGER AS attempts, count(*) FILTER (good)::INTEGER AS applied
+FROM lines LEFT JOIN (SELECT path, line, new, good FROM judged) USING (path, line) WHERE path IN (SELECT path FROM places) GROUP BY path"""
+
+
+@query(sql.with_files(f"SELECT * FROM (WITH {APART})", SECTIONS))
+def patched_files_by_line(spark, folder):
+    """Whole files with the patches of all their lines, each on its line alone, so that places stand apart."""
+    found = patch.with_templates(reported(spark, folder)).groupBy("path", "language", "line").agg(F.min("rule_id").alias("rule_id"))
+    rows = patch.patch_files(files(spark, folder), found, context_lines=0)
+    return rows.select("path", "patched_text", F.size("patches").alias("attempts"), F.size(F.filter("patches", lambda p: p["success"])).alias("applied"))
+
+
 @query(sql.with_files(f"""SELECT count(*) AS total_patches, count(*) FILTER (success) AS successful,
   count(*) FILTER (NOT success) AS failed, count(DISTINCT path) AS files_patched,
   count(*) AS dry_runs, string_agg(DISTINCT template_id, ',' ORDER BY template_id) AS vulnerability_types
