@@ -106,6 +106,19 @@ def report_lines(findings: DataFrame) -> DataFrame:
     return shown.select(F.col("id"), F.to_json(F.struct(*shown.columns)).alias("json"))
 
 
+SHOWN = ("id string, severity string, file string, line int, code_snippet string, description string, cwe string, remediation string, "
+         "auto_fixable boolean, confidence string, rule_id string")
+
+
+def read_report_lines(lines: DataFrame, column: str = "json") -> DataFrame:
+    """Findings from the JSON texts of a stored report, one a row; a text that is none has a ``problem`` and nothing else."""
+    read = F.from_json(F.col(column), SHOWN + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    names = [part.split()[0] for part in SHOWN.split(", ")]
+    rows = lines.select(read.alias("read"), F.col(column).alias("source"))
+    bad = F.col("read").isNull() | F.col("read._corrupt").isNotNull() | F.col("read.id").isNull()
+    return rows.select(*[F.when(~bad, F.col(f"read.{n}")).alias(n) for n in names], F.when(bad, F.coalesce("source", F.lit(""))).alias("problem"))
+
+
 def sarif_results(findings: DataFrame) -> DataFrame:
     """One result object of the SARIF format per finding, as JSON."""
     level = (F.when(F.col("sev_rank") >= 3, "error").when(F.col("sev_rank") == 2, "warning").otherwise("note"))
@@ -149,6 +162,34 @@ def fixed_findings(now: DataFrame, before: DataFrame) -> DataFrame:
     return new_findings(before, now)
 
 
+def history(findings: DataFrame) -> DataFrame:
+    """Of each finding the first and the last scan that has it, and the number of scans; ``findings`` have ``scan_id`` and ``scan_ts``."""
+    at = F.struct("scan_ts", "scan_id")
+    seen = findings.groupBy("finding_id", "scan_id", "scan_ts").agg(F.lit(1).alias("one"))
+    return seen.groupBy("finding_id").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("scans")).select(
+        "finding_id", F.col("first.scan_id").alias("first_seen"), F.col("first.scan_ts").alias("first_ts"), F.col("last.scan_id").alias("last_seen"),
+        F.col("last.scan_ts").alias("last_ts"), "scans")
+
+
+def updated_history(held: DataFrame, now: DataFrame, scan_id: str, scan_ts) -> DataFrame:
+    """``history`` with one more scan, later than those in it: its findings meet the history once, older scans are not read again."""
+    ids = now.select("finding_id").distinct().withColumn("here", F.lit(True))
+    kind = held.schema["last_ts"].dataType
+    both = held.join(ids, "finding_id", "full")
+
+    def new(name, value):
+        return F.when(F.col("here"), F.lit(value).cast(held.schema[name].dataType)).otherwise(F.col(name)).alias(name)
+
+    return both.select("finding_id", F.coalesce("first_seen", F.lit(scan_id)).alias("first_seen"), F.coalesce("first_ts", F.lit(scan_ts).cast(kind)).alias("first_ts"),
+                       new("last_seen", scan_id), new("last_ts", scan_ts), (F.coalesce("scans", F.lit(0)) + F.coalesce("here", F.lit(False)).cast("long")).alias("scans"))
+
+
+def with_state(held: DataFrame, scan_id: str) -> DataFrame:
+    """``history`` with each finding's state after the scan ``scan_id``: new, open or fixed."""
+    state = F.when(F.col("last_seen") != scan_id, "fixed").when(F.col("first_seen") == scan_id, "new").otherwise("open")
+    return held.withColumn("state", state)
+
+
 def trend(counts: DataFrame, time: str = "scan_ts", key: str = "severity", value: str = "total") -> DataFrame:
     """Change of each count against the scan before; ``counts`` has one row per scan and key."""
     before = F.lag(value).over(W.partitionBy(key).orderBy(time))

@@ -487,6 +487,30 @@ def displayed_findings(spark, folder):
     return report.display(reported(spark, folder)).drop("auto_fixable")
 
 
+@query(SQL["displayed_findings"])
+def findings_read_back(spark, folder):
+    """Findings from the JSON lines of a report."""
+    read = report.read_report_lines(report.report_lines(reported(spark, folder)))
+    return read.where("problem IS NULL").drop("problem", "auto_fixable")
+
+
+#: Five scans of one project: a finding is in a scan or not by its file's and its line's number.
+IN_SCAN = "(file_number * (scan + 1) + line) % 3 <> 0"
+
+
+@query(sql.with_files(f"""SELECT finding_id, 'scan-' || min(scan) AS first_seen, 'scan-' || max(scan) AS last_seen, count(*) AS scans,
+    CASE WHEN max(scan) < 4 THEN 'fixed' WHEN min(scan) = 4 THEN 'new' ELSE 'open' END AS state
+  FROM (SELECT md5(concat_ws(':', rule_id, path, line, matched_code)) AS finding_id, line,
+          CAST(regexp_extract(path, 'f([0-9]+)[.]', 1) AS BIGINT) AS file_number FROM reported), (SELECT unnest(range(5)) AS scan)
+  WHERE {IN_SCAN} GROUP BY finding_id""", REPORTED))
+def finding_history(spark, folder):
+    """First and last scan of every finding over five scans, and whether it is new, open or fixed after the last."""
+    found = reported(spark, folder).select("finding_id", "line", F.regexp_extract("path", r"f([0-9]+)[.]", 1).cast("long").alias("file_number"))
+    held = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("scan")).where(IN_SCAN)
+    held = held.select("finding_id", F.concat(F.lit("scan-"), "scan").alias("scan_id"), F.col("scan").alias("scan_ts"))
+    return report.with_state(report.history(held), "scan-4").drop("first_ts", "last_ts")
+
+
 @query(sql.with_files("""SELECT 'scan-1' AS scan_id, count(*) AS total_vulnerabilities,
   count(DISTINCT path) AS scanned_files, count(*) FILTER (severity = 'critical') AS critical,
   count(*) FILTER (severity = 'info') AS info FROM reported""", REPORTED))

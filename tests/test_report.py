@@ -165,3 +165,27 @@ def test_report_of_a_scan_by_id(spark, texts):
     assert empty.known and empty.total == 0
     unknown = report_of(found, scans, "none").first()
     assert not unknown.known and unknown.last_scans == sorted(f"s{i}" for i in range(2, 12))
+
+
+def test_a_stored_report_is_read_back(spark, found):
+    lines = report.report_lines(found)
+    back = report.read_report_lines(lines)
+    assert sorted(map(str, back.drop("problem").collect())) == sorted(map(str, report.display(found).collect()))
+    odd = spark.createDataFrame([("{",), ("[1]",), (None,), ("{}",), ('{"id": "a", "line": "x"}',)], "json string")
+    assert [r.problem is not None for r in report.read_report_lines(odd).collect()] == [True] * 5
+
+
+def test_history_kept_scan_by_scan_equals_history_of_all(spark):
+    import random
+
+    rng = random.Random(3)
+    scans = [(f"s{k}", k, sorted(rng.sample(range(40), rng.randrange(30)))) for k in range(5)]
+    rows = [(str(i), s, t) for s, t, ids in scans for i in ids]
+    whole = report.history(spark.createDataFrame(rows, "finding_id string, scan_id string, scan_ts int"))
+    held = report.history(spark.createDataFrame([r for r in rows if r[1] == "s0"], "finding_id string, scan_id string, scan_ts int"))
+    for s, t, ids in scans[1:]:
+        held = report.updated_history(held, spark.createDataFrame([(str(i),) for i in ids] * 2, "finding_id string"), s, t)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, whole.collect()))
+    state = {r.finding_id: r.state for r in report.with_state(held, "s4").collect()}
+    last, before = set(scans[4][2]), {i for _, _, ids in scans[:4] for i in ids}
+    assert state == {str(i): "fixed" if i not in last else "open" if i in before else "new" for i in last | before}
