@@ -23,18 +23,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the least id, once; documents without an id all stay."""
+    """Of every group of near-duplicates the document with the least id, once; others that share its id stay if they are unlike."""
     ship(spark)
-    found = stored(jaccard_join.groups(docs), "groups").where("id is not null")
-    counted = found.groupBy("id", "component").agg(F.count("*").alias("rows"))
-    gone = stored(counted.where((F.col("id") != F.col("component")) | (F.col("rows") > 1)).select(F.col("id").alias("doc_id")), "gone")
-    few = gone.limit(jaccard_join.IDS_PER_BROADCAST + 1).count() <= jaccard_join.IDS_PER_BROADCAST
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = stored(counted.where((F.col("id") == F.col("component")) & (F.col("rows") > 1)).select(F.col("id").alias("doc_id")), "repeated")
-    if not repeated.isEmpty():
-        again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.unionByName(again.select(docs.columns))
-    return kept
+    return jaccard_join.one_of_each(docs).select(docs.columns)
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
