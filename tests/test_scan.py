@@ -169,3 +169,22 @@ def test_plan_reads_once_and_runs_no_python(spark):
     assert text.count("FileScan parquet") == 1
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text
+
+
+def test_a_table_of_one_split_is_scanned_by_all_cores_and_findings_are_not_sent(spark):
+    from scanloom.plans.corpus import code_files
+
+    orders = spark.range(0, 40, 1, 1).selectExpr("id AS o_orderkey", "id AS o_custkey")
+    found = scan(code_files(orders))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert code_files(orders).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_lines_with_one_and_with_many_hits_have_the_same_places(spark, texts):
+    from scanloom.functions.regex import find_all, to_finder
+
+    rows = texts(("a", "python", "ab x\nab ab ab\n\nab\n ab a\nb ab"))
+    hits = rows.select(find_all(F.col("text"), to_finder(r"a\s?b"))).first()[0]
+    assert [(h.line, h.column_start, h.matched) for h in hits] == [
+        (1, 1, "ab"), (2, 1, "ab"), (2, 4, "ab"), (2, 7, "ab"), (4, 1, "ab"), (5, 2, "ab"), (5, 5, "a\nb"), (6, 3, "ab")]
