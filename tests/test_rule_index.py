@@ -92,3 +92,14 @@ def test_no_rules_and_no_texts(spark, texts):
     assert scan(texts(("p", "go", "x")), rules=own, threshold="info").count() == 0
     some = check_rule_table(spark.createDataFrame(rows(*RULES[:2]), WRITTEN)).where("problem IS NULL").drop("problem")
     assert scan(texts(("p", "go", "x")).limit(0), rules=some, threshold="info").count() == 0
+
+
+def test_numbered_pieces_meet_only_the_words_that_hold_them(spark):
+    from scanloom.operators.rule_index import words_with_pieces
+
+    words = [f"item_{i}" for i in range(300)] + ["ab", "xitem_12y", "x" * 60 + "item_299"]
+    pieces = [f"item_{i}" for i in range(0, 300, 3)] + ["q" * 16, "tem"]
+    got = words_with_pieces(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(p,) for p in pieces], "piece string"))
+    assert sorted(map(tuple, got.collect())) == sorted((w, p) for w in words for p in pieces if p in w)
+    # A join by a shared gram made pairs of all numbered names and then asked which hold which.
+    assert "contains(" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
