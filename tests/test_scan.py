@@ -188,3 +188,32 @@ def test_lines_with_one_and_with_many_hits_have_the_same_places(spark, texts):
     hits = rows.select(find_all(F.col("text"), to_finder(r"a\s?b"))).first()[0]
     assert [(h.line, h.column_start, h.matched) for h in hits] == [
         (1, 1, "ab"), (2, 1, "ab"), (2, 4, "ab"), (2, 7, "ab"), (4, 1, "ab"), (5, 2, "ab"), (5, 5, "a\nb"), (6, 3, "ab")]
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_patterns_run_once_and_outside_of_generators(texts):
+    frame = texts(("a.py", "python", "x = eval(y)\nexec(z)\n"), ("a.go", "go", 'p := "http://a"\n'))
+    plan = _plan(scan(frame, packs=["pattern"], threshold="info", facts=False).select("path", "severity"))
+    assert plan.count("regexp_replace(text") == 1  # not again in a filter on the number of hits
+    assert not [line for line in plan.splitlines() if "Generate" in line and "regexp" in line]
+
+
+def test_finders_of_calls_are_constants(texts):
+    from scanloom.operators.facts import calls
+
+    rows = calls(texts(("a.py", "python", "f(1, g(2))"), ("a.go", "go", "\nx.f(`a`, 2)"), ("a.js", "javascript", "// f(1)\nh(3)")))
+    assert "regexp_replace(CASE" not in _plan(rows) and ", CASE WHEN (language" not in _plan(rows)
+    found = sorted((r.path, r.line, r.column_start, r.func_text, r.args) for r in rows.collect())
+    assert found == [("a.go", 2, 1, "x.f", ["`a`", "2"]), ("a.js", 2, 1, "h", ["3"]), ("a.py", 1, 1, "f", ["1", "g(2)"]), ("a.py", 1, 6, "g", ["2"])]
+
+
+def test_only_hit_of_a_text_like_one_of_many(texts):
+    """One match in a text is read by plain functions, several by folds: places, snippets and lines agree."""
+    for language, code in (("python", "é = 1\n  password = 'hunter2secret'  # \n\tz = 2\nq"), ("go", "// a\n  x := http.Get(\n    url)\nm := md5.Sum(d)"),
+                           ("javascript", "let a;\n\n  el.innerHTML = b + c;\nlet d;"), ("rust", "a\nlet q = unsafe { b };\nc")):
+        one, two = (scan(texts(("f", language, code + times)), threshold="info", masked=False, facts=False).drop("finding_id")
+                    .where("line < 5").orderBy("rule_id", "line", "column_start", "matched_code").collect() for times in ("\n\n\n", "\n\n\n\n" + code))
+        assert one and one == two, language
