@@ -112,9 +112,10 @@ SHOWN = ("id string, severity string, file string, line int, code_snippet string
 
 def read_report_lines(lines: DataFrame, column: str = "json") -> DataFrame:
     """Findings from the JSON texts of a stored report, one a row; a text that is none has a ``problem`` and nothing else."""
-    read = F.from_json(F.col(column), SHOWN + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
     names = [part.split()[0] for part in SHOWN.split(", ")]
-    rows = lines.select(read.alias("read"), F.col(column).alias("source"))
+    # Out of a generator, as a filter on the problem would be asked where the texts are made, and read them once more.
+    read = F.from_json(F.col("source"), SHOWN + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select(F.col(column).alias("source")).select("source", F.explode(F.array(read)).alias("read"))
     bad = F.col("read").isNull() | F.col("read._corrupt").isNotNull() | F.col("read.id").isNull()
     return rows.select(*[F.when(~bad, F.col(f"read.{n}")).alias(n) for n in names], F.when(bad, F.coalesce("source", F.lit(""))).alias("problem"))
 

@@ -189,3 +189,14 @@ def test_history_kept_scan_by_scan_equals_history_of_all(spark):
     state = {r.finding_id: r.state for r in report.with_state(held, "s4").collect()}
     last, before = set(scans[4][2]), {i for _, _, ids in scans[:4] for i in ids}
     assert state == {str(i): "fixed" if i not in last else "open" if i in before else "new" for i in last | before}
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_report_lines_are_read_once(spark):
+    lines = spark.createDataFrame([('{"id": "a", "line": 3}',), ("none",), (None,)], "json string")
+    read = report.read_report_lines(lines)
+    assert _plan(read.where("problem IS NULL")).count("from_json") == 1
+    assert [(r.id, r.line, r.problem) for r in read.collect()] == [("a", 3, None), (None, None, "none"), (None, None, "")]
