@@ -23,6 +23,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -130,23 +131,21 @@ class Coder:
                         heapq.heappush(heap, (rank, left))
         return [part for part in parts if part >= 0]
 
-    def chunk(self, chunk: str) -> tuple:
-        """The ids of a run without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a run without white space, as 32-bit numbers."""
         out: list[int] = []
         for word in WORD.findall(chunk):
             out += self.words[word]
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
-    def _plain(self, text: str, out: list[int]) -> None:
+    def _plain(self, text: str) -> bytes:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower case goes letter by letter, without a final sigma
         # The file separators are no white space here, but they are to split().
         found = text.lower().split() if not re.search("[\x1c-\x1f]", text) else regex.split(r"\s+", text.lower())
-        known = self.chunks
-        for chunk in found:
-            out += known[chunk]
+        return b"".join(map(self.chunks.__getitem__, found))
 
     def forget(self) -> None:
         """Empty the tables: workers are used again for other tasks, which need the memory."""
@@ -155,16 +154,14 @@ class Coder:
             known.before = {}
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        return np.frombuffer(self.coded(text), np.int32).tolist()
+
+    def coded(self, text: str) -> bytes:
+        """The ids of a text, as 32-bit numbers."""
         if "<|" not in text and all(x.startswith("<|") for x in self.special):
-            self._plain(text, out)
-        else:
-            for at, part in enumerate(self.split.split(text) if self.special else [text]):
-                if at % 2:
-                    out.append(self.special[part])
-                else:
-                    self._plain(part, out)
-        return out
+            return self._plain(text)
+        parts = self.split.split(text) if self.special else [text]
+        return b"".join(np.int32(self.special[part]).tobytes() if at % 2 else self._plain(part) for at, part in enumerate(parts))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.pieces.__getitem__, ids))
@@ -194,10 +191,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def run(batches):
         tool = coder(file.value)
         for batch in slices(batches, 1 << 20):
-            ids = [tool.encode(x or "") for x in batch.column(carried).to_pylist()]
-            columns = [*batch.columns[:carried], pa.array(ids, pa.list_(pa.int32()))]
+            ids = [tool.coded(x or "") for x in batch.column(carried).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            flat = np.frombuffer(b"".join(ids), np.int32)
+            columns = [*batch.columns[:carried], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
             if decoded:
-                columns.append(pa.array(map(tool.decode, ids), pa.string()))
+                columns.append(pa.array([tool.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string()))
             yield pa.record_batch(columns, schema.names)
         tool.forget()
 

@@ -65,3 +65,9 @@ def test_vocabulary_size_is_checked(spark, monkeypatch):
     monkeypatch.setattr(bpe, "FILE_LIMIT", 10)
     with pytest.raises(ValueError):
         bpe.encode(cases.docs(spark, []), vocabulary())
+
+
+def test_ids_are_held_as_numbers_of_four_bytes(coder):
+    for text in ("", " \x1c ", "one two, two", "a<|endoftext|>b é"):
+        assert coder.coded(text) == b"".join(i.to_bytes(4, "little") for i in coder.encode(text))
+    assert all(isinstance(ids, bytes) for ids in coder.chunks.values())
