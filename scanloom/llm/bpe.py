@@ -21,10 +21,12 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from array import array
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .words import slices
 
 SHORT = 128
-KEPT = 50_000
+KEPT = 200_000
 #: A vocabulary file is sent to every worker, so its size has a limit.
 FILE_LIMIT = 64 << 20
 #: The split of a normal text into words.
@@ -136,7 +138,7 @@ class Coder:
         out: list[int] = []
         for word in WORD.findall(chunk):
             out += self.words[word]
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
@@ -166,6 +168,15 @@ class Coder:
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.pieces.__getitem__, ids))
 
+    @cached_property
+    def listed(self) -> pa.Array:
+        """The pieces in the order of their ids."""
+        return pa.array(map(self.pieces.get, range(max(self.pieces) + 1)), pa.string())
+
+    def decoded(self, ids: pa.ListArray) -> pa.Array:
+        """:meth:`decode` of each row of ids that :meth:`coded` gave."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.listed.take(ids.values)), " ")
+
 
 @lru_cache(1)
 def coder(content: bytes) -> Coder:
@@ -196,7 +207,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             flat = np.frombuffer(b"".join(ids), np.int32)
             columns = [*batch.columns[:carried], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
             if decoded:
-                columns.append(pa.array([tool.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string()))
+                columns.append(tool.decoded(columns[-1]))
             yield pa.record_batch(columns, schema.names)
         tool.forget()
 

@@ -1,6 +1,7 @@
 """BPE against the tokenizers library."""
 import random
 
+import pyarrow as pa
 import pytest
 
 import cases
@@ -71,3 +72,19 @@ def test_ids_are_held_as_numbers_of_four_bytes(coder):
     for text in ("", " \x1c ", "one two, two", "a<|endoftext|>b é"):
         assert coder.coded(text) == b"".join(i.to_bytes(4, "little") for i in coder.encode(text))
     assert all(isinstance(ids, bytes) for ids in coder.chunks.values())
+
+
+def test_a_large_vocabulary_of_words_is_coded_once(library, coder):
+    coder.forget()
+    found, find = [], coder.chunks.find
+    coder.chunks.find = lambda chunk: found.append(chunk) or find(chunk)
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(150_000))
+    first = coder.coded(text)
+    assert coder.coded(text) == first and len(found) == 150_000
+    assert coder.encode(text[:5000]) == library.encode(text[:5000], add_special_tokens=False).ids
+    coder.chunks.find = find
+
+
+def test_rows_decoded_at_once(coder):
+    ids = [coder.encode(text) for text in ("", "one two", "a<|endoftext|>b é", "\x00")]
+    assert coder.decoded(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == [coder.decode(x) for x in ids]
