@@ -41,10 +41,11 @@ SLICE_BYTES = 1 << 21
 BLOCK = 1 << 17
 #: Windows of one context at most (a run of one byte, say, would be a context of any length).
 CONTEXT = 1 << 12
-#: Bytes of a bucket, of a shard in it, and of one anchor's contexts before it is dealt anew.
-BUCKET_BYTES = 1 << 20
+#: Bytes of a bucket, of a shard in it, and of one anchor's contexts before it is dealt anew. A merge costs its bytes; dealing anew sends
+#: every piece with ``length`` bytes around it, many times the bytes of contexts that are long and alike, so it is for what fills a bucket.
+BUCKET_BYTES = 1 << 19
 SHARD_BYTES = 1 << 17
-ANCHOR_BYTES = 1 << 17
+ANCHOR_BYTES = 1 << 19
 #: The address of a byte: the number of its part of the stored texts, and its place in it.
 PLACE_BITS = 38
 

@@ -72,6 +72,17 @@ def test_a_passage_in_all_texts_with_unlike_surroundings(spark):
     same(found(spark, rows, anchor_bytes=3000, bucket_bytes=20000, shard_bytes=4000), brute(rows))
 
 
+def test_what_fits_a_bucket_is_not_dealt_anew(spark, monkeypatch):
+    rng, dealt, anew = random.Random(9), [], s._dealt_anew
+    monkeypatch.setattr(s, "_dealt_anew", lambda cuts, *rest: dealt.append(cuts.count()) or anew(cuts, *rest))
+    ends = lambda: "".join(rng.choices("cdefgh ", k=60))
+    rows = [(i, ends() + "ab" * 1200 + ends()) for i in range(100)]
+    same(found(spark, rows), brute(rows))
+    assert dealt == []
+    same(found(spark, rows, anchor_bytes=1 << 17), brute(rows))
+    assert dealt[0] >= 100
+
+
 def test_empty(spark):
     assert found(spark, []) == []
     same(found(spark, [(1, None), (None, "")]), brute([(1, None), (None, "")]))
