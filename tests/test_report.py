@@ -200,3 +200,11 @@ def test_report_lines_are_read_once(spark):
     read = report.read_report_lines(lines)
     assert _plan(read.where("problem IS NULL")).count("from_json") == 1
     assert [(r.id, r.line, r.problem) for r in read.collect()] == [("a", 3, None), (None, None, "none"), (None, None, "")]
+
+
+def test_history_sends_its_rows_once(spark):
+    rows = spark.createDataFrame([("a", "s1", 1, "x"), ("a", "s2", 2, "x"), ("a", "s2", 2, "y"), ("b", "s1", 1, "x")], "finding_id string, scan_id string, scan_ts int, path string")
+    held = report.history(rows)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "path" not in plan.split("Exchange")[1].split("\n")[1]
+    assert sorted(map(tuple, held.select("finding_id", "first_seen", "last_seen", "scans").collect())) == [("a", "s1", "s2", 2), ("b", "s1", "s1", 1)]
