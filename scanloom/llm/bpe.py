@@ -4,7 +4,8 @@ A word's parts and the ranks of all pairs of neighbours stand in two short lists
 step scans the ranks for the least, joins that pair, deletes one boundary and looks up
 the two ranks beside it. Words above ``SHORT`` bytes, where scanning would be slow, take
 the same steps from a heap. Words do not touch across white space, so equal words are
-looked up in a table of those met before. It keeps the last one to two times ``KEPT`` words.
+looked up in a table of those met before, and so are equal runs between white space; a run that
+is one word stands there once. The table keeps the last one to two times ``KEPT`` of them.
 
 The vocabulary is a file of the ``tokenizers`` format with NFC, lower-casing, a split
 into letters, single digits and other characters, byte-level pieces, a mark at the end of a
@@ -52,13 +53,13 @@ def _byte_characters() -> list[str]:
 
 
 class Known(dict):
-    """Results by word; ``before`` holds those of the generation before."""
+    """Results by word or run; ``before`` holds those of the generation before."""
 
     def __init__(self, find):
         super().__init__()
         self.find, self.before = find, {}
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, word: str) -> bytes:
         found = self.before.get(word)
         if found is None:
             found = self.find(word)
@@ -86,15 +87,14 @@ class Coder:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocabulary[left] << 32 | vocabulary[right]] = rank
             self.joined.append(vocabulary[left + right])
-        self.words = Known(self.word)
         self.chunks = Known(self.chunk)
 
-    def word(self, word: str) -> tuple:
+    def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
         inner = self.inner
         parts = [inner[b] for b in raw]
         parts[-1] = self.final[raw[-1]]
-        return tuple(self._short(parts) if len(parts) <= SHORT else self._long(parts))
+        return self._short(parts) if len(parts) <= SHORT else self._long(parts)
 
     def _short(self, parts: list[int]) -> list[int]:
         rank_of, joined = self.ranks.get, self.joined
@@ -135,10 +135,10 @@ class Coder:
 
     def chunk(self, chunk: str) -> bytes:
         """The ids of a run without white space, as 32-bit numbers."""
-        out: list[int] = []
-        for word in WORD.findall(chunk):
-            out += self.words[word]
-        return array("i", out).tobytes()
+        found = WORD.findall(chunk)
+        if found == [chunk]:
+            return array("i", self.word(chunk)).tobytes()
+        return b"".join(map(self.chunks.__getitem__, found))
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
@@ -150,10 +150,9 @@ class Coder:
         return b"".join(map(self.chunks.__getitem__, found))
 
     def forget(self) -> None:
-        """Empty the tables: workers are used again for other tasks, which need the memory."""
-        for known in (self.words, self.chunks):
-            known.clear()
-            known.before = {}
+        """Empty the table: workers are used again for other tasks, which need the memory."""
+        self.chunks.clear()
+        self.chunks.before = {}
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.coded(text), np.int32).tolist()

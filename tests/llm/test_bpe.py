@@ -88,3 +88,9 @@ def test_a_large_vocabulary_of_words_is_coded_once(library, coder):
 def test_rows_decoded_at_once(coder):
     ids = [coder.encode(text) for text in ("", "one two", "a<|endoftext|>b é", "\x00")]
     assert coder.decoded(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == [coder.decode(x) for x in ids]
+
+
+def test_a_run_that_is_one_word_is_held_once(library, coder):
+    coder.forget()
+    assert coder.encode("one two, two") == library.encode("one two, two", add_special_tokens=False).ids
+    assert sorted(word for held in vars(coder).values() if isinstance(held, bpe.Known) for word in held) == [",", "one", "two", "two,"]
