@@ -146,3 +146,11 @@ def test_disabled_rules_do_not_match(spark, texts):
     rules = enable_rules(rules_frame(spark), ["py-eval-usage"])
     found = scan(texts(("a", "python", "eval(x)\nexec(x)")), rules=rules, threshold="info")
     assert {r.rule_id for r in found.collect()} == {"py-eval-usage"}
+
+
+def test_lines_are_parted_only_where_a_text_has_several(spark):
+    ends = ["\n", "\r", "\r\n", "\x0b", "\f", "\x1c", "\x85", "\u2028", "\u2029"]
+    for text, want in [("one", "one"), ("", ""), (None, None), *((f"a{end}b{end}c", "a\nb\n...") for end in ends)]:
+        assert one(spark, text, tx.truncate_lines(F.col("v"), 2)) == (want,)
+    plan = spark.range(1).select(tx.truncate_lines(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan.upper()  # asked before the text is parted
