@@ -103,3 +103,29 @@ def test_numbered_pieces_meet_only_the_words_that_hold_them(spark):
     assert sorted(map(tuple, got.collect())) == sorted((w, p) for w in words for p in pieces if p in w)
     # A join by a shared gram made pairs of all numbered names and then asked which hold which.
     assert "contains(" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_large_rule_tables_are_not_broadcast_whatever_their_file_had(spark, texts):
+    table = texts(*((f"p{i}", "generic", f"see part{i}x and 12345") for i in range(50)))
+    number = F.col("id").cast("string")
+    # 240 KB as Spark reads its size, 15 MB of rules
+    written = spark.range(30_000).select(F.concat(F.lit("r"), number).alias("id"), F.lit("n").alias("name"), F.array(F.lit("generic")).alias("languages"),
+                                         F.lit("low").alias("severity"), F.array(F.concat(F.lit(r"\bpart"), number, F.lit("x"))).alias("patterns"))
+    checked = check_rule_table(written).where("problem IS NULL").drop("problem")
+    found = scan(table, rules=checked, threshold="info")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "[gram" in plan and "SortMergeJoin" in plan  # the beginnings of pieces, 37 ** 3 at most
+    assert sorted((r.path, r.rule_id) for r in found.collect()) == sorted((f"p{i}", f"r{i}") for i in range(50))
+
+
+@pytest.mark.parametrize("size, loose_size", [(0, 1), (0, 1 << 40), (1 << 40, 1), (1 << 40, 1 << 40)])
+def test_same_hits_broadcast_or_dealt(spark, texts, size, loose_size):
+    from scanloom.operators.rule_index import indexed_hits
+
+    rng = random.Random(5)
+    table = texts(*((f"p{i}", rng.choice(["python", "generic", "go"]), "".join(rng.choices(BITS, k=5))) for i in range(60)))
+    own = check_rule_table(spark.createDataFrame(rows(*RULES), WRITTEN)).where("problem IS NULL").drop("problem")
+    plain, _ = check_rules([{**r, "name": "n", "severity": "low"} for r in RULES])
+    want = scan(table, rules=plain, threshold="info").select("path", "rule_id", "line", "matched_code")
+    hits = indexed_hits(table, own, size=size, loose_size=loose_size).select("path", "rule_id", "hit.line", "hit.matched").distinct()
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect()))
