@@ -217,3 +217,23 @@ def test_only_hit_of_a_text_like_one_of_many(texts):
         one, two = (scan(texts(("f", language, code + times)), threshold="info", masked=False, facts=False).drop("finding_id")
                     .where("line < 5").orderBy("rule_id", "line", "column_start", "matched_code").collect() for times in ("\n\n\n", "\n\n\n\n" + code))
         assert one and one == two, language
+
+
+def test_rules_on_facts_are_compiled(texts):
+    found = scan(texts(("a.py", "python", "eval(request.args)")), threshold="info").select("path", "rule_id")
+    lines = [line for line in _plan(found).splitlines() if "PY030" in line]
+    assert len(lines) == 1 and "Generate" not in lines[0]  # nothing inside of a generator is
+    assert {"PY001", "PY030"} <= {r.rule_id for r in found.collect()}
+
+
+@pytest.mark.parametrize("few", [0, 2])
+def test_few_hits_are_read_as_many(spark, texts, monkeypatch, few):
+    from scanloom.operators import scan as module
+
+    bits = ["eval(a)", "eval(\n", "f(eval(b), 'x\ny')", "\n", "é", "password = 'abcdefgh12'", "el.innerHTML = `a\nb`;", "//", '"""', "JSON.parse(x)", "pickle.loads(open(\n'q'))",
+            "x.unwrap()", "defer f()", "\x01", "\x03", "https://a:b@c", "http://x", "yaml.load(s)", "\tassert x"]
+    rng = random.Random(6)
+    table = texts(*((f"p{i}", rng.choice(["python", "javascript", "go", "rust", "java", None]), "".join(rng.choices(bits, k=rng.randrange(1, 30)))) for i in range(250)))
+    want = sorted(map(repr, scan(table, threshold="info").collect()))
+    monkeypatch.setattr(module, "FEW", few)
+    assert sorted(map(repr, scan(table, threshold="info").collect())) == want and len(want) > 1000
